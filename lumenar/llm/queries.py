@@ -3,11 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lumenar.llm.boilerplate import content_lines, main_text
 from lumenar.llm.mojibake import garbled_documents, restore_documents
 from lumenar.session import read_table
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = content_lines(read_table(spark, sf_dir, "page_captures"))
+    return lines.select("page_id", F.explode("line_nos").cast("bigint").alias("line_no"))
+
+
+def p6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(read_table(spark, sf_dir, "page_captures"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return garbled_documents(read_table(spark, sf_dir, "documents")).select("doc_id")
 
@@ -16,5 +27,5 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return restore_documents(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p10_found": p10_found, "p10_restored": p10_restored}
+QUERIES = {"p6_found": p6_found, "p6_main_text": p6_main_text, "p10_found": p10_found, "p10_restored": p10_restored}
 ORACLES: dict[str, str] = {}
