@@ -6,8 +6,50 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenar.llm.boilerplate import content_lines, main_text
+from lumenar.llm.lookalikes import canonical_column, same_reading_pairs
+from lumenar.llm.mixing import mix_sources, reached_shares
 from lumenar.llm.mojibake import garbled_documents, restore_documents
-from lumenar.session import read_table
+from lumenar.llm.spans import shared_report, shared_spans, span_pairs, without_repeats
+from lumenar.llm.tokens import count_tokens, encode_column
+from lumenar.session import cut_lineage, read_table
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    posts = read_table(spark, sf_dir, "posts")
+    texts = posts.select(F.col("post_id").alias("id"), F.col("ingested_at").alias("version"), F.expr("stack(2, 'spanish', content.spanish, 'portuguese', content.portuguese) as (lang, text)"))
+    pairs = same_reading_pairs(texts)
+    return pairs.select(F.col("id_a").alias("post_a"), F.col("id_b").alias("post_b"), F.col("lang").alias("content_lang"))
+
+
+def p2_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every post's Spanish and Portuguese text in the consistent form; the latest delivery counts."""
+    posts = read_table(spark, sf_dir, "posts").select("post_id", "ingested_at", F.col("content.spanish").alias("spanish"), F.col("content.portuguese").alias("portuguese"))
+    latest = posts.groupBy("post_id").agg(F.max(F.struct("ingested_at", "spanish", "portuguese")).alias("last")).select("post_id", "last.spanish", "last.portuguese")
+    return canonical_column(latest, ["spanish", "portuguese"]).drop("spanish", "portuguese")
+
+
+_RUN_FIELDS = ["full_transcript", "plain_text"]
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = read_table(spark, sf_dir, "transcribe_runs")
+    return runs.groupBy("run_id").agg(F.max(F.struct("ingested_at", *_RUN_FIELDS)).alias("last")).select("run_id", *[f"last.{f}" for f in _RUN_FIELDS])
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = span_pairs(shared_spans(_runs(spark, sf_dir), "run_id", _RUN_FIELDS))
+    return pairs.select(F.col("rid_a").alias("run_a"), F.col("rid_b").alias("run_b"))
+
+
+def p4_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each run is shared with other runs."""
+    runs = _runs(spark, sf_dir)
+    return shared_report(runs, shared_spans(runs, "run_id", _RUN_FIELDS), "run_id", _RUN_FIELDS)
+
+
+def p4_without_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = _runs(spark, sf_dir)
+    return without_repeats(runs, shared_spans(runs, "run_id", _RUN_FIELDS), "run_id", _RUN_FIELDS)
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +61,23 @@ def p6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(read_table(spark, sf_dir, "page_captures"))
 
 
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_column(read_table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
+def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_lineage(count_tokens(read_table(spark, sf_dir, "documents"), keep=["doc_id", "source"]))
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_sized(spark, sf_dir), read_table(spark, sf_dir, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized, targets = _sized(spark, sf_dir), read_table(spark, sf_dir, "mix_targets")
+    return reached_shares(mix_sources(sized, targets), sized, targets)
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return garbled_documents(read_table(spark, sf_dir, "documents")).select("doc_id")
 
@@ -27,5 +86,18 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return restore_documents(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p6_found": p6_found, "p6_main_text": p6_main_text, "p10_found": p10_found, "p10_restored": p10_restored}
+QUERIES = {
+    "p2_found": p2_found,
+    "p2_canonical": p2_canonical,
+    "p4_found": p4_found,
+    "p4_shared": p4_shared,
+    "p4_without_repeats": p4_without_repeats,
+    "p6_found": p6_found,
+    "p6_main_text": p6_main_text,
+    "p8_ids": p8_ids,
+    "p9_mix": p9_mix,
+    "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_restored": p10_restored,
+}
 ORACLES: dict[str, str] = {}
