@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenar.llm.alignment import align_sentences
 from lumenar.llm.boilerplate import content_lines, main_text
 from lumenar.llm.lookalikes import canonical_column, same_reading_pairs
 from lumenar.llm.mixing import mix_sources, reached_shares
@@ -14,6 +15,22 @@ from lumenar.llm.tokens import count_tokens, encode_column
 from lumenar.session import cut_lineage, read_table
 
 
+def _latest_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per post and translation; the latest delivery of a post counts."""
+    posts = read_table(spark, sf_dir, "posts").groupBy("post_id").agg(F.max(F.struct("ingested_at", "content")).alias("last")).select("post_id", "last.content.*")
+    return posts.select(F.col("post_id").alias("id"), F.expr("stack(2, 'spanish', spanish, 'portuguese', portuguese) as (lang, target)"), F.col("english").alias("source"))
+
+
+def p1_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All links with their scores."""
+    return align_sentences(_latest_contents(spark, sf_dir))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = p1_links(spark, sf_dir)
+    return links.select(F.col("id").alias("post_id"), F.col("lang").alias("other_lang"), F.col("source_idx").alias("english_idx"), F.col("target_idx").alias("other_idx"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     posts = read_table(spark, sf_dir, "posts")
     texts = posts.select(F.col("post_id").alias("id"), F.col("ingested_at").alias("version"), F.expr("stack(2, 'spanish', content.spanish, 'portuguese', content.portuguese) as (lang, text)"))
@@ -54,7 +71,7 @@ def p4_without_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = content_lines(read_table(spark, sf_dir, "page_captures"))
-    return lines.select("page_id", F.explode("line_nos").cast("bigint").alias("line_no"))
+    return lines.select("page_id", F.explode(F.col("line_nos").cast("array<bigint>")).alias("line_no"))
 
 
 def p6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,6 +104,8 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_links": p1_links,
     "p2_found": p2_found,
     "p2_canonical": p2_canonical,
     "p4_found": p4_found,
