@@ -109,12 +109,28 @@ def compile_transducer() -> tuple[re.Pattern, dict[str, str]]:
     return pattern, outputs
 
 
+#: A stretch in which clusters may change, with the character its first marks belong to.
+_STRETCH = re.compile("[\x00-\x9f\xa1-\xac\xae-\xff]?[\xa0\xad\u0100-\U0010ffff]+")
+
+
+class _Stretches(dict):
+    def __missing__(self, stretch: str) -> str:
+        pattern, outputs = compile_transducer()
+        out = pattern.sub(lambda m: m[0] if m[1] else outputs[m[0]], stretch)
+        if len(self) >= 200_000:
+            self.clear()
+        self[stretch] = out
+        return out
+
+
+_stretches = _Stretches()
+
+
 def canonical(text: str | None) -> str | None:
     """The one form of all texts that look like ``text``."""
     if text is None or text.isascii():
         return text
-    pattern, outputs = compile_transducer()
-    return pattern.sub(lambda m: m[0] if m[1] else outputs[m[0]], text)
+    return _STRETCH.sub(lambda m: _stretches[m[0]], text)
 
 
 def canonical_column(df: DataFrame, columns: list[str], suffix: str = "_canonical") -> DataFrame:
