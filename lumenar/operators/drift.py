@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenar.session import cut_lineage
+
 # Costs of the edit operations. A rename is cheaper than a removal and an addition.
 COST_ADD = COST_REMOVE = 1.0
 COST_RETYPE = 0.5
@@ -305,7 +307,7 @@ def schema_changes(records: DataFrame) -> DataFrame:
 
     ``records`` needs ``feed, file_no, payload``; any other column is ignored.
     """
-    pairs = _file_pairs(file_schemas(records))
+    pairs = cut_lineage(_file_pairs(cut_lineage(file_schemas(records))))
     proof = rename_evidence(records, pairs).groupBy("feed", "file_no").agg(F.collect_list(F.struct("old_path", "new_path", "agree", "both")).alias("proof"))
     return (
         pairs.join(proof, ["feed", "file_no"], "left")
