@@ -16,6 +16,7 @@ order of position; sentences without words link to none; of several deliveries t
 
 from __future__ import annotations
 
+import heapq
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -98,6 +99,27 @@ class Lexicon:
             first[lang] = min(i, first.get(lang, i))
         return sorted(first.values()) or [0]
 
+    def index(self) -> None:
+        """Rows of the tables by source word, for looking up a document's words without a search."""
+        self.column = (self.pair % self.width).astype(np.int64)
+        self.row_start = np.searchsorted(self.pair // self.width, np.arange(len(self.source) + 1))
+        self.strength = np.minimum(1.0, STRENGTH * np.sqrt(self.forward * self.backward))
+        self.place = np.full(self.width, -1, np.int64)
+
+    def block(self, source: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Strength of each of the distinct ``source`` ids against each of the distinct ``target`` ids."""
+        if not hasattr(self, "strength"):
+            self.index()
+        out = np.zeros((source.size, target.size))
+        begin, size = self.row_start[source], self.row_start[source + 1] - self.row_start[source]
+        entry = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        self.place[target] = np.arange(target.size)
+        column = self.place[self.column[entry]]
+        self.place[target] = -1
+        hit = column >= 0
+        out[np.repeat(np.arange(source.size), size)[hit], column[hit]] = self.strength[entry[hit]]
+        return out
+
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place of each key in the tables, and whether it is there."""
         if not self.pair.size:
@@ -133,6 +155,7 @@ class _Document:
 
     def __init__(self, lex: Lexicon, lang: str, source: list[list[str]], target: list[list[str]]) -> None:
         self.n, self.m = len(source), len(target)
+        self.source, self.target = source, target
         s = [w for x in source for w in x]
         t = [w for x in target for w in x]
         self.s_of = np.repeat(np.arange(self.n), [len(x) for x in source])
@@ -141,9 +164,6 @@ class _Document:
         self.t_id = np.array([lex.target.get((lang, w), -1) for w in t], np.int64)
         self.s_weight = np.where(self.s_id >= 0, lex.source_weight[self.s_id] if len(lex.source) else 0.0, lex.rare_weight)
         self.t_weight = np.where(self.t_id >= 0, lex.target_weight[self.t_id] if len(lex.target) else 0.0, lex.rare_weight)
-        number: dict[str, int] = {}
-        self.s_word = np.array([number.setdefault(w, len(number)) for w in s], np.int64)
-        self.t_word = np.array([number.setdefault(w, len(number)) for w in t], np.int64)
         alike: dict[str, int] = {}
         code = lambda w, k: alike.setdefault(w, len(alike)) if len(w) >= 4 or w.isdigit() else -k
         self.same = np.equal.outer(np.array([code(w, 1) for w in s], np.int64), np.array([code(w, 2) for w in t], np.int64))
@@ -156,8 +176,9 @@ class _Document:
         score = self.same.astype(float)
         rows, cols = np.flatnonzero(self.s_id >= 0), np.flatnonzero(self.t_id >= 0)
         if lex.pair.size and rows.size and cols.size:
-            at, ok = lex.find(self.s_id[rows][:, None] * lex.width + self.t_id[cols][None, :])
-            strength = np.where(ok, np.minimum(1.0, STRENGTH * np.sqrt(lex.forward[at] * lex.backward[at])), 0.0)
+            source, s_at = np.unique(self.s_id[rows], return_inverse=True)
+            target, t_at = np.unique(self.t_id[cols], return_inverse=True)
+            strength = lex.block(source, target)[s_at[:, None], t_at[None, :]]
             block = np.ix_(rows, cols)
             score[block] = np.maximum(score[block], strength)
         return score
@@ -196,57 +217,56 @@ def _coverage(doc: _Document, match: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return cover_s, cover_t
 
 
+def _score(cover_s, cover_t):  # noqa: ANN001, ANN202
+    return 0.7 * np.maximum(cover_s, cover_t) + 0.3 * np.minimum(cover_s, cover_t)
+
+
 def link(doc: _Document, lex: Lexicon) -> list[tuple[int, int, float]]:
-    """Accepted links (source sentence, target sentence, score), best first."""
-    if not doc.n or not doc.m or not doc.s_id.size or not doc.t_id.size:
+    """Accepted links (source sentence, target sentence, score), best first.
+
+    Using up words only lowers scores, so a pair's last known score bounds it from above: it is
+    worked out anew only when it comes up and one of its sentences has given words away.
+    """
+    if not doc.s_id.size or not doc.t_id.size:
         return []
     match = doc.matches(lex)
-    cover_s, cover_t = _coverage(doc, match)
-    place = np.abs((np.arange(doc.n)[:, None] + 0.5) / doc.n - (np.arange(doc.m)[None, :] + 0.5) / doc.m)
-    s_all = np.maximum(_total(doc.s_weight, doc.s_of, doc.n), 1e-9)
-    t_all = np.maximum(_total(doc.t_weight, doc.t_of, doc.m), 1e-9)
-    open_ = np.ones((doc.n, doc.m), bool)
+    first = _score(*_coverage(doc, match))
+    place = 1e-3 * np.abs((np.arange(doc.n)[:, None] + 0.5) / doc.n - (np.arange(doc.m)[None, :] + 0.5) / doc.m)
+    s_end, t_end = np.cumsum([len(x) for x in doc.source]), np.cumsum([len(x) for x in doc.target])
+    s_touched, t_touched = [False] * doc.n, [False] * doc.m
     links: list[tuple[int, int, float]] = []
-    s_rows = [np.flatnonzero(doc.s_of == i) for i in range(doc.n)]
-    t_rows = [np.flatnonzero(doc.t_of == j) for j in range(doc.m)]
-    score = 0.7 * np.maximum(cover_s, cover_t) + 0.3 * np.minimum(cover_s, cover_t)
-    while True:
-        ranked = np.where(open_, score - 1e-3 * place, -1.0)
-        i, j = divmod(int(ranked.argmax()), doc.m)
-        if ranked[i, j] < LINK_SCORE - 1e-3:
-            return links
-        open_[i, j] = False
-        if score[i, j] < LINK_SCORE:
+    waiting = [(place[i, j] - first[i, j], int(i), int(j), False) for i, j in np.argwhere(first >= LINK_SCORE)]
+    heapq.heapify(waiting)
+    while waiting:
+        bound, i, j, fresh = heapq.heappop(waiting)
+        s_from, t_from = s_end[i] - len(doc.source[i]), t_end[j] - len(doc.target[j])
+        block = match[s_from : s_end[i], t_from : t_end[j]]
+        if (s_touched[i] or t_touched[j]) and not fresh:
+            s_weight, t_weight = doc.s_weight[s_from : s_end[i]], doc.t_weight[t_from : t_end[j]]
+            score = float(_score(block.max(axis=1) @ s_weight / s_weight.sum(), block.max(axis=0) @ t_weight / t_weight.sum()))
+            if score >= LINK_SCORE:
+                heapq.heappush(waiting, (place[i, j] - score, i, j, True))
             continue
-        links.append((i, j, float(score[i, j])))
-        block = match[np.ix_(s_rows[i], t_rows[j])]
-        s_used = s_rows[i][block.max(axis=1) >= USED_MATCH]
-        t_used = t_rows[j][block.max(axis=0) >= USED_MATCH]
-        expected = len(s_rows[i]) * doc.t_id.size / doc.s_id.size
-        if len(t_rows[j]) > MERGED * expected:
-            t_used = _half_of_repeated(t_used, doc.t_word)
-        elif expected > MERGED * len(t_rows[j]):
-            s_used = _half_of_repeated(s_used, doc.s_word)
-        match[s_used, :] = 0.0
-        match[:, t_used] = 0.0
-        # only the row of i and the column of j have changed
-        part = match[s_rows[i]]
-        best_t = _by_sentence(part, doc.t_of, doc.m, 1) * doc.s_weight[s_rows[i]][:, None]
-        cover_s[i] = best_t.sum(axis=0) / s_all[i]
-        cover_t[i] = _total((part.max(axis=0) * doc.t_weight), doc.t_of, doc.m) / t_all
-        part = match[:, t_rows[j]]
-        best_s = _by_sentence(part, doc.s_of, doc.n, 0) * doc.t_weight[t_rows[j]][None, :]
-        cover_t[:, j] = best_s.sum(axis=1) / t_all[j]
-        cover_s[:, j] = _total(part.max(axis=1) * doc.s_weight, doc.s_of, doc.n) / s_all
-        score[i] = 0.7 * np.maximum(cover_s[i], cover_t[i]) + 0.3 * np.minimum(cover_s[i], cover_t[i])
-        score[:, j] = 0.7 * np.maximum(cover_s[:, j], cover_t[:, j]) + 0.3 * np.minimum(cover_s[:, j], cover_t[:, j])
-
-
-def _half_of_repeated(used: np.ndarray, word: np.ndarray) -> np.ndarray:
+        links.append((i, j, float(place[i, j] - bound)))
+        s_used = np.flatnonzero(block.max(axis=1) >= USED_MATCH)
+        t_used = np.flatnonzero(block.max(axis=0) >= USED_MATCH)
+        expected = len(doc.source[i]) * doc.t_id.size / doc.s_id.size
+        if len(doc.target[j]) > MERGED * expected:
+            t_used = _half_of_repeated(t_used, doc.target[j])
+        elif expected > MERGED * len(doc.target[j]):
+            s_used = _half_of_repeated(s_used, doc.source[i])
+        match[s_from + s_used] = 0.0
+        match[:, t_from + t_used] = 0.0
+        s_touched[i] = t_touched[j] = True
+        waiting = [(x, k, m, f and k != i and m != j) for x, k, m, f in waiting]
+    return links
+
+
+def _half_of_repeated(used: np.ndarray, sentence: list[str]) -> np.ndarray:
     """The first half of each repeated word's places, so that the rest may explain another sentence."""
-    of: dict[int, list[int]] = {}
+    of: dict[str, list[int]] = {}
     for place in used.tolist():
-        of.setdefault(int(word[place]), []).append(place)
+        of.setdefault(sentence[place], []).append(place)
     return np.array(sorted(p for places in of.values() for p in places[: (len(places) + 1) // 2]), np.int64)
 
 
