@@ -154,13 +154,12 @@ def normalise_timestamps(df: DataFrame, text: str, zone: str | None = None, loca
     after = F.expr(f"try_cast({tmp}f as bigint)")
     epoch = (
         F.when(width <= 11, count * 1000000 + after)
-        .when(width <= 14, count * 1000 + F.floor(after / 1000))
+        .when(width <= 14, count * 1000 + F.expr(f"try_cast({tmp}f as bigint) div 1000"))
         .when(width <= 17, count)
-        .otherwise(F.floor(count / 1000))
+        .otherwise(F.expr(f"try_cast(get({tmp}p,1) as bigint) div 1000"))
     )
     utc = F.when(fmt == "epoch", epoch).otherwise(F.coalesce(by_offset, by_region)).cast("bigint")
-    kept = [df[c] for c in df.columns]
-    return work.select(*[F.col(f"`{c}`") for c in df.columns], fmt.alias(f"{prefix}format"), utc.alias(f"{prefix}utc_us")) if kept else work
+    return work.select(*[F.col(f"`{c}`") for c in df.columns], fmt.alias(f"{prefix}format"), utc.alias(f"{prefix}utc_us"))
 
 
 def zone_lookup(authors: DataFrame) -> DataFrame:
