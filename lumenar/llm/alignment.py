@@ -66,12 +66,17 @@ def words(sentence: str) -> list[str]:
     return [_fold(w) for w in _WORD.findall(canonical(sentence))]
 
 
-_TOKENISED = "id bigint, lang string, source array<array<string>>, target array<array<string>>"
+_TOKENISED = "id bigint, lang string, source array<string>, target array<string>"
+
+
+def _split(batch: pa.RecordBatch, name: str) -> list[list[list[str]]]:
+    """A column of sentences, each a line of words, as lists of words."""
+    return [[x.split() for x in lines] for lines in batch.column(name).to_pylist()]
 
 
 def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        parsed = [pa.array([[words(s) for s in sentences(t)] for t in batch.column(i).to_pylist()], pa.list_(pa.list_(pa.string()))) for i in (2, 3)]
+        parsed = [pa.array([[" ".join(words(s)) for s in sentences(t)] for t in batch.column(i).to_pylist()], pa.list_(pa.string())) for i in (2, 3)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *parsed], names=["id", "lang", "source", "target"])
 
 
@@ -129,8 +134,8 @@ class Lexicon:
 
 
 def _vocabulary(docs: DataFrame) -> Lexicon:
-    per_lang = docs.select("lang", F.lit(1).alias("side"), F.explode(F.array_distinct(F.flatten("target"))).alias("word"))
-    both = per_lang.unionByName(docs.select("lang", F.lit(0).alias("side"), F.explode(F.array_distinct(F.flatten("source"))).alias("word")))
+    once = lambda c: F.explode(F.array_distinct(F.split(F.array_join(c, " "), " "))).alias("word")
+    both = docs.select("lang", F.lit(1).alias("side"), once("target")).unionByName(docs.select("lang", F.lit(0).alias("side"), once("source"))).filter("word <> ''")
     n = docs.count()
     least = max(MIN_DOCUMENTS, int(MIN_SHARE * n))
     rows = both.groupBy("lang", "side", "word").agg(F.count("*").alias("n")).filter(F.col("n") >= least).toPandas()
@@ -289,7 +294,7 @@ def _pair_batches(lex_of, linked: bool):
         ids = pa.list_(pa.int32())
         for batch in batches:
             out_s, out_t = [], []
-            for lang, source, target in zip(*(batch.column(n).to_pylist() for n in ("lang", "source", "target"))):
+            for lang, source, target in zip(batch.column("lang").to_pylist(), _split(batch, "source"), _split(batch, "target")):
                 doc = _Document(lex, lang, source, target)
                 for i, j in [x[:2] for x in link(doc, lex)] if linked else _first_pairs(doc):
                     s = np.unique(doc.s_id[doc.s_of == i])
@@ -394,7 +399,7 @@ def link_sentences(docs: DataFrame, lex: Lexicon) -> DataFrame:
         table = shared.value
         for batch in batches:
             rows: list[tuple] = []
-            for rid, lang, source, target in zip(*(batch.column(n).to_pylist() for n in ("id", "lang", "source", "target"))):
+            for rid, lang, source, target in zip(batch.column("id").to_pylist(), batch.column("lang").to_pylist(), _split(batch, "source"), _split(batch, "target")):
                 rows += [(rid, lang, *x) for x in link(_Document(table, lang, source, target), table)]
             types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["id", "lang", "source_idx", "target_idx", "score"])
