@@ -27,6 +27,7 @@ from lumenar.session import cut_lineage
 
 SINGLE_BYTE = ("cp1252", "latin-1", "cp1250", "cp1251", "cp1253", "mac_roman", "cp437", "cp850", "cp866", "koi8-r", "iso8859-2")
 WRITTEN_IN = ("cp1252", "mac_roman", "cp437", "cp850")
+REREAD_AS_UTF8 = ("cp1252",)
 TWICE = ("cp1252", "latin-1", "mac_roman", "cp850")
 #: A re-read single-byte form is believed where the original is this many times as frequent.
 MIN_RATIO = 2.0
@@ -74,7 +75,8 @@ def garbled_forms(word: str) -> dict[str, bool]:
             for other in SINGLE_BYTE:
                 if other != codec:
                     out.setdefault(read_as(data, other), False)
-            out.setdefault(data.decode("utf-8", "replace"), False)
+            if codec in REREAD_AS_UTF8:
+                out.setdefault(data.decode("utf-8", "replace"), False)
     for codec in SINGLE_BYTE:
         once = read_as(utf8, codec)
         out[once] = True
@@ -113,7 +115,7 @@ def _best_originals(words: DataFrame, utf8_only: bool) -> DataFrame:
     forms = words.mapInArrow(_form_batches(utf8_only), "form string, original string, one_way boolean, weight double")
     seen = words.select(F.col("word").alias("form"), F.col("n").alias("n_form"))
     fits = F.when(F.col("one_way"), F.lit(True) if not utf8_only else F.col("weight") > F.col("n_form")).otherwise(F.col("weight") >= MIN_RATIO * F.col("n_form"))
-    best = F.max(F.struct("weight", "one_way", "original")).alias("best")
+    best = F.max(F.struct("weight", "one_way", F.col("original").rlike(r"\p{L}").alias("letters"), "original")).alias("best")
     return forms.join(seen, "form").filter(fits).groupBy("form").agg(best).select("form", F.col("best.original").alias("original"))
 
 
