@@ -39,7 +39,7 @@ MIN_SHARE = 1e-4
 MIN_PROBABILITY = 0.02
 ROUNDS = (3, 2)  # EM steps on the first sentence pairs, and on those the tables find
 NULL_WEIGHT = 0.02
-LINK_SCORE = 0.58
+LINK_SCORE = 0.37
 USED_MATCH = 0.25
 STRENGTH = 2.2  # a phrase of two words that stand for two others has 0.25 * 0.25 for each, a full match
 MERGED = 1.5  # times the expected length from which a sentence is taken to hold another one too
