@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 SHARED_DIR_CONF = "spark.checkpoint.dir"
+_cuts: dict[str, list[str]] = {}
 
 
 def build_session(cores: str = "*", shuffle_partitions: int = 8, **extra: str) -> SparkSession:
@@ -45,8 +48,31 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _cuts.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable on all executors, once per session."""
+    context = spark.sparkContext
+    if getattr(context, "_lumenar_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="lumenar-package-")) / "lumenar.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
+        for path in sorted(root.rglob("*.py")):
+            archive.write(path, path.relative_to(root.parent))
+    context.addPyFile(str(target))
+    context._lumenar_shipped = True
+
+
+def clear_cuts(spark: SparkSession) -> None:
+    """Delete what ``cut_lineage`` has written in this session; results read from it can't be read again."""
+    jvm = spark.sparkContext._jvm
+    for path in _cuts.pop(spark.sparkContext.applicationId, []):
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
