@@ -74,3 +74,35 @@ def p7_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p3_found": p3_found, "p3_formats": p3_formats, "p5_found": p5_found, "p5_table": p5_table, "p7_found": p7_found, "p7_tables": p7_tables}
+
+# ---------------------------------------------------------------- the same rows in SQL
+
+_NODES = """WITH v AS (SELECT DISTINCT 'video_info' AS src, info_id AS rec_id, CASE WHEN json_valid(info_dict) THEN CASE WHEN json_type(info_dict) = 'VARCHAR' THEN json_extract_string(info_dict, '$') ELSE info_dict END END AS d FROM video_info
+UNION SELECT 'posts', post_id, CASE WHEN author IS NOT NULL THEN CAST(to_json({'author': author}) AS VARCHAR) END FROM posts),
+t AS (SELECT v.src, v.rec_id, j.fullkey, j.path, j.type FROM (SELECT * FROM v WHERE json_valid(d)) v, json_tree(v.d) j),
+filled AS (SELECT DISTINCT src, rec_id, path FROM t WHERE type <> 'NULL' AND fullkey <> '$')
+SELECT DISTINCT t.src, t.rec_id, replace(substr(t.fullkey, 3), '"', '') AS node_path FROM t JOIN filled f ON f.src = t.src AND f.rec_id = t.rec_id AND f.path = t.fullkey WHERE t.type = 'OBJECT' AND t.fullkey <> '$'"""
+
+_DRIFT = """WITH files AS (SELECT DISTINCT feed, CAST(file_no AS BIGINT) AS n FROM raw_records),
+r AS (SELECT DISTINCT feed, CAST(file_no AS BIGINT) AS n, payload FROM raw_records WHERE json_valid(payload) AND json_type(payload) = 'OBJECT'),
+f AS (SELECT r.feed, r.n, json_extract_string(r.payload, '$.id') AS rid, replace(substr(j.fullkey, 3), '"', '') AS p,
+  CASE j.type WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'DOUBLE' THEN 'fractional' ELSE 'integer' END AS kind, CAST(j.value AS VARCHAR) AS val
+  FROM r, json_tree(r.payload) j WHERE j.fullkey <> '$' AND j.type <> 'NULL' AND NOT contains(j.fullkey, '[')),
+s AS (SELECT feed, n, p, mode(kind) AS kind FROM f GROUP BY feed, n, p),
+pairs AS (SELECT b.feed, b.n FROM files a JOIN files b ON a.feed = b.feed AND a.n + 1 = b.n),
+old AS (SELECT q.feed, q.n, s.p, s.kind FROM pairs q JOIN s ON s.feed = q.feed AND s.n = q.n - 1),
+new AS (SELECT q.feed, q.n, s.p, s.kind FROM pairs q JOIN s ON s.feed = q.feed AND s.n = q.n),
+gone AS (SELECT o.* FROM old o LEFT JOIN new w ON o.feed = w.feed AND o.n = w.n AND o.p = w.p WHERE w.p IS NULL),
+come AS (SELECT w.* FROM new w LEFT JOIN old o ON o.feed = w.feed AND o.n = w.n AND o.p = w.p WHERE o.p IS NULL),
+turned AS (SELECT o.feed, o.n, o.p FROM old o JOIN new w ON o.feed = w.feed AND o.n = w.n AND o.p = w.p WHERE o.kind <> w.kind),
+gone_tops AS (SELECT g.* FROM gone g WHERE NOT EXISTS (SELECT 1 FROM gone x WHERE x.feed = g.feed AND x.n = g.n AND starts_with(g.p, x.p || '.')) AND NOT EXISTS (SELECT 1 FROM turned x WHERE x.feed = g.feed AND x.n = g.n AND starts_with(g.p, x.p || '.'))),
+come_tops AS (SELECT g.* FROM come g WHERE NOT EXISTS (SELECT 1 FROM come x WHERE x.feed = g.feed AND x.n = g.n AND starts_with(g.p, x.p || '.')) AND NOT EXISTS (SELECT 1 FROM turned x WHERE x.feed = g.feed AND x.n = g.n AND starts_with(g.p, x.p || '.'))),
+proof AS (SELECT g.feed, g.n, g.p AS old_p, c.p AS new_p FROM gone_tops g JOIN come_tops c ON g.feed = c.feed AND g.n = c.n AND g.kind = c.kind
+  JOIN (SELECT DISTINCT feed, n, rid, p, val FROM f) a ON a.feed = g.feed AND a.n = g.n - 1 AND a.p = g.p JOIN (SELECT DISTINCT feed, n, rid, p, val FROM f) b ON b.feed = g.feed AND b.n = g.n AND b.p = c.p AND a.rid = b.rid
+  GROUP BY g.feed, g.n, g.p, c.p HAVING sum(CAST(a.val = b.val AS INT)) > 0 AND 2 * sum(CAST(a.val = b.val AS INT)) >= count(*))
+SELECT feed, n AS file_no, old_p AS field_path, 'renamed' AS change_kind, new_p AS new_path FROM proof
+UNION ALL SELECT feed, n, p, 'retyped', '' FROM turned t WHERE NOT EXISTS (SELECT 1 FROM turned x WHERE x.feed = t.feed AND x.n = t.n AND starts_with(t.p, x.p || '.'))
+UNION ALL SELECT feed, n, p, 'removed', '' FROM gone_tops g WHERE NOT EXISTS (SELECT 1 FROM proof x WHERE x.feed = g.feed AND x.n = g.n AND x.old_p = g.p)
+UNION ALL SELECT feed, n, p, 'added', '' FROM come_tops g WHERE NOT EXISTS (SELECT 1 FROM proof x WHERE x.feed = g.feed AND x.n = g.n AND x.new_p = g.p)"""
+
+ORACLES = {"p5_found": _DRIFT, "p7_found": _NODES}
