@@ -119,4 +119,9 @@ QUERIES = {
     "p10_found": p10_found,
     "p10_restored": p10_restored,
 }
-ORACLES: dict[str, str] = {}
+# every window of the least length, written out: the shared ones make the pairs
+_SPAN_PAIRS = """WITH t AS (SELECT DISTINCT run_id, txt FROM (SELECT run_id, full_transcript AS txt FROM transcribe_runs UNION ALL SELECT run_id, plain_text FROM transcribe_runs) WHERE length(txt) >= 200),
+w AS (SELECT DISTINCT run_id, substr(txt, CAST(i AS INT), 200) AS s FROM (SELECT run_id, txt, unnest(range(1, length(txt) - 198)) AS i FROM t)),
+m AS (SELECT s FROM w GROUP BY s HAVING count(*) > 1)
+SELECT DISTINCT a.run_id AS run_a, b.run_id AS run_b FROM w a JOIN m ON a.s = m.s JOIN w b ON a.s = b.s WHERE a.run_id < b.run_id"""
+ORACLES: dict[str, str] = {"p4_found": _SPAN_PAIRS}
