@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenar.llm.alignment import align_sentences
 from lumenar.llm.boilerplate import content_lines, main_text
-from lumenar.llm.lookalikes import canonical_column, same_reading_pairs
+from lumenar.llm.lookalikes import LOOKALIKES, canonical_column, same_reading_pairs
 from lumenar.llm.mixing import mix_sources, reached_shares
 from lumenar.llm.mojibake import garbled_documents, restore_documents
 from lumenar.llm.spans import shared_report, shared_spans, span_pairs, without_repeats
@@ -124,4 +124,19 @@ _SPAN_PAIRS = """WITH t AS (SELECT DISTINCT run_id, txt FROM (SELECT run_id, ful
 w AS (SELECT DISTINCT run_id, substr(txt, CAST(i AS INT), 200) AS s FROM (SELECT run_id, txt, unnest(range(1, length(txt) - 198)) AS i FROM t)),
 m AS (SELECT s FROM w GROUP BY s HAVING count(*) > 1)
 SELECT DISTINCT a.run_id AS run_a, b.run_id AS run_b FROM w a JOIN m ON a.s = m.s JOIN w b ON a.s = b.s WHERE a.run_id < b.run_id"""
-ORACLES: dict[str, str] = {"p4_found": _SPAN_PAIRS}
+
+
+def _same_reading_sql() -> str:
+    """Characters mapped one to one, invisible ones removed, accents composed: enough for the signs of these texts."""
+    table = dict(LOOKALIKES)
+    table |= {chr(c + 0xFEE0): chr(c) for c in range(0x21, 0x7F)}
+    table |= dict(zip("ⅰⅴⅹⅼⅽⅾⅿⅠⅤⅩⅬⅭⅮⅯ", "ivxlcdmIVXLCDM"))
+    table |= dict.fromkeys("\xa0\u2002\u2003\u2005\u2007\u2009\u202f\u3000", " ") | {"ό": "ó"}
+    quote = lambda x: x.replace("'", "''")
+    given, made = quote("".join(table)), quote("".join(table.values()))
+    canon = f"nfc_normalize(translate(regexp_replace(t, '[\\x{{ad}}\\x{{200b}}-\\x{{200d}}\\x{{2060}}\\x{{feff}}]', '', 'g'), '{given}', '{made}'))"
+    parts = " UNION ".join(f"SELECT post_id, '{x}' AS content_lang, content.{x} AS t FROM posts WHERE trim(content.{x}) <> ''" for x in ("spanish", "portuguese"))
+    return f"WITH c AS (SELECT post_id, content_lang, t, {canon} AS k FROM ({parts})) SELECT DISTINCT a.post_id AS post_a, b.post_id AS post_b, a.content_lang FROM c a JOIN c b ON a.k = b.k AND a.content_lang = b.content_lang WHERE a.post_id < b.post_id AND a.t <> b.t"
+
+
+ORACLES: dict[str, str] = {"p2_found": _same_reading_sql(), "p4_found": _SPAN_PAIRS}
