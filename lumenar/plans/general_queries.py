@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenar.operators.drift import schema_changes, steady_table
 from lumenar.operators.nested import explode_nodes, index_nested
-from lumenar.operators.timestamps import normalise_timestamps, zone_lookup
+from lumenar.operators.timestamps import CASCADE, ZONE_LETTERS, month_table, normalise_timestamps, zone_lookup
 from lumenar.session import cut_lineage, read_table
 
 
@@ -105,4 +107,50 @@ UNION ALL SELECT feed, n, p, 'retyped', '' FROM turned t WHERE NOT EXISTS (SELEC
 UNION ALL SELECT feed, n, p, 'removed', '' FROM gone_tops g WHERE NOT EXISTS (SELECT 1 FROM proof x WHERE x.feed = g.feed AND x.n = g.n AND x.old_p = g.p)
 UNION ALL SELECT feed, n, p, 'added', '' FROM come_tops g WHERE NOT EXISTS (SELECT 1 FROM proof x WHERE x.feed = g.feed AND x.n = g.n AND x.new_p = g.p)"""
 
-ORACLES = {"p5_found": _DRIFT, "p7_found": _NODES}
+
+
+def _only_group(pattern: str, wanted: int) -> str:
+    """The pattern with one group left that captures."""
+    count = 0
+
+    def keep(m: re.Match) -> str:
+        nonlocal count
+        count += 1
+        return "(" if count == wanted else "(?:"
+
+    return re.sub(r"\((?!\?)", keep, pattern)
+
+
+def _instants_sql() -> str:
+    """The cascade with SQL pattern functions; the later of two equal local times is moved back by hand."""
+    plain = lambda p: p.replace("[^\\W\\d_]", "[^0-9_.,: /-]").replace("\\2", "[/.-]")
+    fits = "CASE " + " ".join(f"WHEN regexp_matches(c, '{plain(p)}') THEN '{n}'" for n, p, _ in CASCADE) + " END"
+    slots = ("y", "mo", "d", "h", "mi", "s", "f", "half", "zone", "region")
+    columns = []
+    for k, slot in enumerate(slots):
+        parts = []
+        for name, pattern, layout in CASCADE:
+            ref = layout.split("|")[k]
+            parts.append(f"WHEN '{name}' THEN " + (f"regexp_extract(c, '{_only_group(plain(pattern), int(ref[1:]))}', 1)" if ref else "''"))
+        columns.append(f"CASE fmt {' '.join(parts)} END AS {slot}")
+    months = "CASE lower(mo) " + " ".join(f"WHEN '{m}' THEN {n}" for m, n in month_table().items()) + " ELSE try_cast(mo AS INT) END"
+    letters = "CASE zone " + " ".join(f"WHEN '{z}' THEN {m}" for z, m in ZONE_LETTERS.items()) + " END"
+    swap = "fmt = 'digits' AND coalesce(locale, '') <> 'en-US'"
+    digits = "regexp_replace(zone, '[^0-9]', '', 'g')"
+    offset = f"CASE WHEN regexp_matches(zone, '^[+-]') THEN (CASE WHEN zone[1] = '-' THEN -1 ELSE 1 END) * (CAST({digits}[1:2] AS INT) * 60 + coalesce(try_cast({digits}[3:4] AS INT), 0)) ELSE {letters} END"
+    place = "CASE WHEN contains(zone, '/') THEN zone WHEN zone = '' AND region <> '' THEN region WHEN zone = '' THEN home_zone END"
+    blank = r"[\s\x{a0}\x{202f}\x{2009}]+"
+    return f"""WITH x AS (SELECT DISTINCT 'posts' AS src, post_id AS rec_id, author.handle AS handle, timestamp_raw AS t FROM posts UNION SELECT 'video_inputs', input_id, handle, date_raw FROM video_inputs UNION SELECT 'video_info', info_id, uploader_id, video_date FROM video_info),
+z AS (SELECT handle, min(home_zone) AS home_zone, min(locale) AS locale FROM authors GROUP BY handle),
+c AS (SELECT src, rec_id, home_zone, locale, trim(regexp_replace(t, '{blank}', ' ', 'g')) AS c FROM x LEFT JOIN z USING (handle) WHERE t IS NOT NULL),
+p AS (SELECT *, {", ".join(columns)} FROM (SELECT *, {fits} AS fmt FROM c) WHERE fmt IS NOT NULL),
+n AS (SELECT *, try_cast(y AS BIGINT) AS year, CASE WHEN {swap} THEN try_cast(d AS INT) ELSE {months} END AS month, CASE WHEN {swap} THEN try_cast(mo AS INT) ELSE try_cast(d AS INT) END AS day,
+  coalesce(try_cast(h AS INT), 0) AS hour, coalesce(try_cast(mi AS INT), 0) AS minute, coalesce(try_cast(s AS INT), 0) AS second, CAST(rpad(f[1:6], 6, '0') AS BIGINT) AS micro, {offset} AS off, {place} AS place FROM p),
+w AS (SELECT *, CASE WHEN fmt <> 'epoch' AND minute < 60 AND second < 60 AND CASE WHEN half = '' THEN hour < 24 ELSE hour BETWEEN 1 AND 12 END THEN
+  try_cast(try_cast(printf('%04d-%02d-%02d', year, month, day) AS DATE) AS TIMESTAMP) + to_microseconds(CAST(((CASE WHEN half = '' THEN hour ELSE hour % 12 + CASE WHEN lower(half) = 'p' THEN 12 ELSE 0 END END) * 3600 + minute * 60 + second) AS BIGINT) * 1000000 + micro) END AS wall FROM n),
+u AS (SELECT *, CASE WHEN off IS NULL AND place IS NOT NULL THEN timezone(place, wall) END AS late FROM w)
+SELECT src, rec_id, CAST(utc_us AS BIGINT) AS utc_us FROM (SELECT src, rec_id, CASE WHEN fmt = 'epoch' THEN CASE WHEN length(y) <= 11 THEN year * 1000000 + micro WHEN length(y) <= 14 THEN year * 1000 + micro // 1000 WHEN length(y) <= 17 THEN year ELSE year // 1000 END
+  WHEN off IS NOT NULL THEN epoch_us(wall) - CAST(off AS BIGINT) * 60000000 WHEN timezone(place, late - INTERVAL 1 HOUR) = wall THEN epoch_us(late) - 3600000000 ELSE epoch_us(late) END AS utc_us FROM u) WHERE utc_us IS NOT NULL"""
+
+
+ORACLES = {"p3_found": _instants_sql(), "p5_found": _DRIFT, "p7_found": _NODES}
