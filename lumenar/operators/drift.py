@@ -343,38 +343,42 @@ def _renamed_prefix(first: dict[str, str], path: str) -> str:
     return path
 
 
+_NAMES = "array<struct<path:string,name:string>>"
+
+
 def compile_projections(changes: DataFrame) -> DataFrame:
-    """Per feed the rules ``array<struct<file_no, path, name>>`` compiled from its edit scripts.
+    """``feed, since, until, names``: what each path is called from a file on until the next change, compiled from the edit scripts.
 
-    Grows with a feed's changes, not its records.
+    Grows with a feed's changes, not its records. Paths that keep their own name aren't listed.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rules = [[{"file_no": f, "path": p, "name": n} for f, p, n in _lineage(c)] for c in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(rules, pa.list_(pa.struct([("file_no", pa.int64()), ("path", pa.string()), ("name", pa.string())])))], names=["feed", "rules"]
-            )
+            rows: list[tuple] = []
+            for feed, listed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                names: dict[str, str] = {}
+                rules = _lineage(listed)
+                steps = sorted({f for f, _, _ in rules})
+                for since, until in zip(steps, [*steps[1:], None]):
+                    names |= {p: n for f, p, n in rules if f == since}
+                    rows.append((feed, since, until, [{"path": p, "name": n} for p, n in names.items() if p != n]))
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.struct([("path", pa.string()), ("name", pa.string())])))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["feed", "since", "until", "names"])
 
     per_feed = changes.groupBy("feed").agg(F.collect_list(F.struct("file_no", "field_path", "change_kind", "new_path")).alias("changes"))
-    return per_feed.mapInArrow(run, "feed string, rules array<struct<file_no:bigint,path:string,name:string>>")
+    return per_feed.mapInArrow(run, f"feed string, since bigint, until bigint, names {_NAMES}")
 
 
-def project_record(payload: str | None, file_no: int, rules: list[dict] | None) -> dict[str, str] | None:
+def project_record(payload: str | None, names: dict[str, str]) -> dict[str, str] | None:
     """Scalar and array fields of a record under their first names, as text."""
     fields = fields_of(payload)
     if fields is None:
         return None
-    names: dict[str, str] = {}
-    for rule in sorted(rules or (), key=lambda r: r["file_no"]):
-        if rule["file_no"] <= file_no:
-            names[rule["path"]] = rule["name"]
     out: dict[str, str] = {}
     for path, value in fields.items():
-        if isinstance(value, dict):
-            continue
-        name = names.get(path) or _renamed_prefix(names, path)
-        out.setdefault(name, value if isinstance(value, str) else _value_text(value))
+        if not isinstance(value, dict):
+            name = names.get(path) or _renamed_prefix(names, path)
+            out.setdefault(name, value if isinstance(value, str) else _value_text(value))
     return out
 
 
@@ -382,20 +386,22 @@ def steady_table(records: DataFrame, changes: DataFrame) -> DataFrame:
     """Every record once, under steady names: ``feed, file_no, rec_no, values map<first name, text>``.
 
     The latest delivery of a (feed, file_no, rec_no) counts; records that aren't complete JSON
-    objects have a null map. Rules are joined to the records by feed.
+    objects have a null map. Each file's projection is looked up once and joined by (feed, file).
     """
     keys = ["feed", "file_no", "rec_no"]
-    rules = compile_projections(changes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             col = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
-            maps = [project_record(p, f, r) for p, f, r in zip(col["payload"], col["file_no"], col["rules"])]
+            maps = [project_record(p, {x["path"]: x["name"] for x in names or ()}) for p, names in zip(col["payload"], col["names"])]
             maps = [None if m is None else list(m.items()) for m in maps]
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(4)], pa.array(maps, pa.map_(pa.string(), pa.string()))], names=[*keys, "arrived_at", "values"])
 
     slim = records.filter("feed is not null and file_no is not null").select("feed", F.col("file_no").cast("bigint").alias("file_no"), F.col("rec_no").cast("bigint").alias("rec_no"), "arrived_at", "payload")
-    projected = slim.join(rules, "feed", "left").select(*keys, "arrived_at", "payload", "rules").mapInArrow(
+    files = slim.select("feed", "file_no").distinct()
+    versions = compile_projections(changes)
+    current = files.join(versions, "feed").filter("file_no >= since and (until is null or file_no < until) and size(names) > 0").select("feed", "file_no", "names")
+    projected = slim.join(current, ["feed", "file_no"], "left").select(*keys, "arrived_at", "payload", "names").mapInArrow(
         run, "feed string, file_no bigint, rec_no bigint, arrived_at timestamp, values map<string,string>"
     )
     entries = projected.withColumn("values", F.map_entries("values"))

@@ -62,6 +62,7 @@ def test_steady_table(spark):
 
 
 def test_projection_of_odd_records():
-    assert project_record(None, 1, None) is None
-    assert project_record("{}", 1, []) == {}
-    assert project_record('{"a": [1, {"b": null}]}', 1, None) == {"a": "[1, {}]"}
+    assert project_record(None, {}) is None
+    assert project_record("{}", {}) == {}
+    assert project_record('{"a": [1, {"b": null}]}', {}) == {"a": "[1, {}]"}
+    assert project_record('{"x": {"b": 1}, "y": null}', {"x": "o"}) == {"o.b": "1"}
