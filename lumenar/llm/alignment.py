@@ -43,6 +43,8 @@ LINK_SCORE = 0.37
 USED_MATCH = 0.25
 STRENGTH = 2.2  # a phrase of two words that stand for two others has 0.25 * 0.25 for each, a full match
 MERGED = 1.5  # times the expected length from which a sentence is taken to hold another one too
+MOST_ALIKE = 30.0  # weight of words written alike that outweighs any distance
+MATRIX_CELLS = 4_000_000  # source times target words held at once; larger documents go in pieces
 LONE_RARE = 0.3  # weight of a rare word without a counterpart
 
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
@@ -171,18 +173,19 @@ class _Document:
         self.t_weight = np.where(self.t_id >= 0, lex.target_weight[self.t_id] if len(lex.target) else 0.0, lex.rare_weight)
         alike: dict[str, int] = {}
         code = lambda w, k: alike.setdefault(w, len(alike)) if len(w) >= 4 or w.isdigit() else -k
-        self.same = np.equal.outer(np.array([code(w, 1) for w in s], np.int64), np.array([code(w, 2) for w in t], np.int64))
-        if self.same.size:  # a rare word written in one text only says little
-            self.s_weight[(self.s_id < 0) & ~self.same.any(axis=1)] *= LONE_RARE
-            self.t_weight[(self.t_id < 0) & ~self.same.any(axis=0)] *= LONE_RARE
+        self.s_code, self.t_code = np.array([code(w, 1) for w in s], np.int64), np.array([code(w, 2) for w in t], np.int64)
+        # a rare word written in one text only says little
+        self.s_weight[(self.s_id < 0) & ~np.isin(self.s_code, self.t_code)] *= LONE_RARE
+        self.t_weight[(self.t_id < 0) & ~np.isin(self.t_code, self.s_code)] *= LONE_RARE
 
-    def matches(self, lex: Lexicon) -> np.ndarray:
+    def matches(self, lex: Lexicon, s: slice = slice(None), t: slice = slice(None)) -> np.ndarray:
         """How well each source word and each target word explain each other, 0 to 1."""
-        score = self.same.astype(float)
-        rows, cols = np.flatnonzero(self.s_id >= 0), np.flatnonzero(self.t_id >= 0)
+        score = (self.s_code[s, None] == self.t_code[None, t]).astype(float)
+        s_id, t_id = self.s_id[s], self.t_id[t]
+        rows, cols = np.flatnonzero(s_id >= 0), np.flatnonzero(t_id >= 0)
         if lex.pair.size and rows.size and cols.size:
-            source, s_at = np.unique(self.s_id[rows], return_inverse=True)
-            target, t_at = np.unique(self.t_id[cols], return_inverse=True)
+            source, s_at = np.unique(s_id[rows], return_inverse=True)
+            target, t_at = np.unique(t_id[cols], return_inverse=True)
             strength = lex.block(source, target)[s_at[:, None], t_at[None, :]]
             block = np.ix_(rows, cols)
             score[block] = np.maximum(score[block], strength)
@@ -226,6 +229,68 @@ def _score(cover_s, cover_t):  # noqa: ANN001, ANN202
     return 0.7 * np.maximum(cover_s, cover_t) + 0.3 * np.minimum(cover_s, cover_t)
 
 
+class _Whole:
+    """Matches of a document as one matrix."""
+
+    def __init__(self, doc: _Document, lex: Lexicon) -> None:
+        self.match = doc.matches(lex)
+        self.doc = doc
+
+    def scores(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        score = _score(*_coverage(self.doc, self.match))
+        i, j = np.nonzero(score >= LINK_SCORE)
+        yield score[i, j], i, j
+
+    def best(self, s: slice, t: slice) -> tuple[np.ndarray, np.ndarray]:
+        block = self.match[s, t]
+        return block.max(axis=1), block.max(axis=0)
+
+    def use(self, s: np.ndarray, t: np.ndarray) -> None:
+        self.match[s] = 0.0
+        self.match[:, t] = 0.0
+
+
+class _Pieces:
+    """The same, worked out a few target words at a time, for documents whose matrix would be too large."""
+
+    def __init__(self, doc: _Document, lex: Lexicon) -> None:
+        self.doc, self.lex = doc, lex
+        self.s_open, self.t_open = np.ones(doc.s_id.size, bool), np.ones(doc.t_id.size, bool)
+
+    def _blocks(self, s: slice, t: slice) -> Iterator[tuple[slice, np.ndarray]]:
+        step = max(1, MATRIX_CELLS // max(1, s.stop - s.start))
+        for at in range(t.start, t.stop, step):
+            part = slice(at, min(at + step, t.stop))
+            yield part, self.doc.matches(self.lex, s, part) * self.s_open[s, None] * self.t_open[None, part]
+
+    def scores(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        doc = self.doc
+        s_all = np.maximum(_total(doc.s_weight, doc.s_of, doc.n), 1e-9)
+        every, end = slice(0, doc.s_id.size), 0
+        for j, sentence in enumerate(doc.target):
+            start, end = end, end + len(sentence)
+            if not sentence:
+                continue
+            row_best, cover_t = np.zeros(doc.s_id.size), np.zeros(doc.n)
+            for part, block in self._blocks(every, slice(start, end)):
+                row_best = np.maximum(row_best, block.max(axis=1))
+                cover_t += _by_sentence(block, doc.s_of, doc.n, 0) @ doc.t_weight[part]
+            score = _score(_total(row_best * doc.s_weight, doc.s_of, doc.n) / s_all, cover_t / doc.t_weight[start:end].sum())
+            i = np.flatnonzero(score >= LINK_SCORE)
+            yield score[i], i, np.full(i.size, j)
+
+    def best(self, s: slice, t: slice) -> tuple[np.ndarray, np.ndarray]:
+        rows, columns = np.zeros(s.stop - s.start), []
+        for _, block in self._blocks(s, t):
+            rows = np.maximum(rows, block.max(axis=1))
+            columns.append(block.max(axis=0))
+        return rows, np.concatenate(columns)
+
+    def use(self, s: np.ndarray, t: np.ndarray) -> None:
+        self.s_open[s] = False
+        self.t_open[t] = False
+
+
 def link(doc: _Document, lex: Lexicon) -> list[tuple[int, int, float]]:
     """Accepted links (source sentence, target sentence, score), best first.
 
@@ -234,36 +299,33 @@ def link(doc: _Document, lex: Lexicon) -> list[tuple[int, int, float]]:
     """
     if not doc.s_id.size or not doc.t_id.size:
         return []
-    match = doc.matches(lex)
-    first = _score(*_coverage(doc, match))
-    place = 1e-3 * np.abs((np.arange(doc.n)[:, None] + 0.5) / doc.n - (np.arange(doc.m)[None, :] + 0.5) / doc.m)
-    s_end, t_end = np.cumsum([len(x) for x in doc.source]), np.cumsum([len(x) for x in doc.target])
-    s_touched, t_touched = [False] * doc.n, [False] * doc.m
+    words_of = (_Whole if doc.s_id.size * doc.t_id.size <= MATRIX_CELLS else _Pieces)(doc, lex)
+    s_end, t_end = np.cumsum([len(x) for x in doc.source]).tolist(), np.cumsum([len(x) for x in doc.target]).tolist()
+    s_touched, t_touched = [0] * doc.n, [0] * doc.m
+    place = lambda i, j: 1e-3 * abs((i + 0.5) / doc.n - (j + 0.5) / doc.m)
     links: list[tuple[int, int, float]] = []
-    waiting = [(place[i, j] - first[i, j], int(i), int(j), False) for i, j in np.argwhere(first >= LINK_SCORE)]
+    # a pair waits with its bound and how often its sentences had given words away when it was worked out
+    waiting = [(place(i, j) - x, i, j, 0) for score, at_i, at_j in words_of.scores() for x, i, j in zip(score.tolist(), at_i.tolist(), at_j.tolist())]
     heapq.heapify(waiting)
     while waiting:
-        bound, i, j, fresh = heapq.heappop(waiting)
-        s_from, t_from = s_end[i] - len(doc.source[i]), t_end[j] - len(doc.target[j])
-        block = match[s_from : s_end[i], t_from : t_end[j]]
-        if (s_touched[i] or t_touched[j]) and not fresh:
-            s_weight, t_weight = doc.s_weight[s_from : s_end[i]], doc.t_weight[t_from : t_end[j]]
-            score = float(_score(block.max(axis=1) @ s_weight / s_weight.sum(), block.max(axis=0) @ t_weight / t_weight.sum()))
+        bound, i, j, seen = heapq.heappop(waiting)
+        s, t = slice(s_end[i] - len(doc.source[i]), s_end[i]), slice(t_end[j] - len(doc.target[j]), t_end[j])
+        row_best, column_best = words_of.best(s, t)
+        if s_touched[i] + t_touched[j] != seen:
+            score = float(_score(row_best @ doc.s_weight[s] / doc.s_weight[s].sum(), column_best @ doc.t_weight[t] / doc.t_weight[t].sum()))
             if score >= LINK_SCORE:
-                heapq.heappush(waiting, (place[i, j] - score, i, j, True))
+                heapq.heappush(waiting, (place(i, j) - score, i, j, s_touched[i] + t_touched[j]))
             continue
-        links.append((i, j, float(place[i, j] - bound)))
-        s_used = np.flatnonzero(block.max(axis=1) >= USED_MATCH)
-        t_used = np.flatnonzero(block.max(axis=0) >= USED_MATCH)
+        links.append((i, j, place(i, j) - bound))
+        s_used, t_used = np.flatnonzero(row_best >= USED_MATCH), np.flatnonzero(column_best >= USED_MATCH)
         expected = len(doc.source[i]) * doc.t_id.size / doc.s_id.size
         if len(doc.target[j]) > MERGED * expected:
             t_used = _half_of_repeated(t_used, doc.target[j])
         elif expected > MERGED * len(doc.target[j]):
             s_used = _half_of_repeated(s_used, doc.source[i])
-        match[s_from + s_used] = 0.0
-        match[:, t_from + t_used] = 0.0
-        s_touched[i] = t_touched[j] = True
-        waiting = [(x, k, m, f and k != i and m != j) for x, k, m, f in waiting]
+        words_of.use(s.start + s_used, t.start + t_used)
+        s_touched[i] += 1
+        t_touched[j] += 1
     return links
 
 
@@ -279,11 +341,20 @@ def _first_pairs(doc: _Document) -> list[tuple[int, int]]:
     """For each target sentence the source sentence with most words written alike, then nearest in place."""
     if not doc.n or not doc.m:
         return []
-    alike = np.minimum(_total(_by_sentence(doc.same.astype(float), doc.t_of, doc.m, 1) * doc.s_weight[:, None], doc.s_of, doc.n), 3 * 10.0)
-    place = np.abs((np.arange(doc.n)[:, None] + 0.5) / doc.n - (np.arange(doc.m)[None, :] + 0.5) / doc.m)
-    score = alike - 4.0 * place * min(doc.n, doc.m)
-    best = score.argmax(axis=0)
-    return [(int(i), j) for j, i in enumerate(best)]
+    where: dict[int, list[int]] = {}
+    for at, code in enumerate(doc.s_code.tolist()):
+        if code >= 0:
+            where.setdefault(code, []).append(at)
+    pairs, end = [], 0
+    middle = (np.arange(doc.n) + 0.5) / doc.n
+    for j, sentence in enumerate(doc.target):
+        start, end = end, end + len(sentence)
+        score = -4.0 * np.abs(middle - (j + 0.5) / doc.m) * min(doc.n, doc.m)
+        alike = sorted({at for code in set(doc.t_code[start:end].tolist()) for at in where.get(code, ())})
+        if alike:
+            score += np.minimum(np.bincount(doc.s_of[alike], doc.s_weight[alike], doc.n), MOST_ALIKE)
+        pairs.append((int(score.argmax()), j))
+    return pairs
 
 
 def _pair_batches(lex_of, linked: bool):

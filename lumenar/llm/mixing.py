@@ -83,6 +83,7 @@ def mix_sources(sized: DataFrame, targets: DataFrame, key: str = "doc_id", total
     ``sized`` has ``key, source, n_tokens`` and is read three times; cut its lineage first.
     """
     spark = sized.sparkSession
+    sized = sized.select(key, "source", "n_tokens")
     plan = plan_shares(sized, targets, total)
     rows = [(s.source, s.whole, float(s.part)) for s in plan if s.tokens > 0]
     shares = spark.createDataFrame(rows, "source string, whole int, part double")
@@ -102,6 +103,7 @@ def mix_sources(sized: DataFrame, targets: DataFrame, key: str = "doc_id", total
 
 def reached_shares(mix: DataFrame, sized: DataFrame, targets: DataFrame) -> DataFrame:
     """Per target: ``target_share, max_repeats, available_tokens, used_docs, used_tokens, epochs, share``."""
+    targets = targets.select("source", "target_share", "max_repeats")
     used = mix.groupBy("source").agg(F.count("*").alias("used_docs"), F.sum(F.col("n_tokens") * F.col("repeats")).alias("used_tokens"))
     have = sized.groupBy("source").agg(F.sum("n_tokens").alias("available_tokens"))
     joined = targets.join(have, "source", "left").join(used, "source", "left").na.fill(0, ["available_tokens", "used_docs", "used_tokens"])

@@ -61,3 +61,18 @@ def test_pieces():
 
 def test_empty(spark):
     assert align_sentences(spark.createDataFrame([], "id bigint, lang string, source string, target string")).count() == 0
+
+
+def test_large_documents_go_in_pieces(spark, monkeypatch):
+    """The same links whether a document's words meet in one matrix or a few at a time."""
+    from lumenar.llm import alignment
+    from lumenar.llm.alignment import _Document, link, tokenise_documents, train_lexicon
+
+    rnd = random.Random(11)
+    rows = [(i, "x", *document(rnd)[:2]) for i in range(60)]
+    docs = tokenise_documents(spark.createDataFrame(rows, "id bigint, lang string, source string, target string"))
+    lexicon = train_lexicon(docs)
+    listed = [(r.lang, [x.split() for x in r.source], [x.split() for x in r.target]) for r in docs.collect()]
+    whole = [link(_Document(lexicon, *d), lexicon) for d in listed]
+    monkeypatch.setattr(alignment, "MATRIX_CELLS", 50)
+    assert [[x[:2] for x in link(_Document(lexicon, *d), lexicon)] for d in listed] == [[x[:2] for x in w] for w in whole]

@@ -62,3 +62,14 @@ def test_empty(spark):
     assert mix_sources(table(spark, []), wanted).count() == 0
     assert mix_sources(table(spark, [(1, "a", 5)]), wanted.limit(0)).count() == 0
     assert [tuple(r) for r in mix_sources(table(spark, [(1, "a", 5), (1, "a", 5)]), wanted).collect()] == [(1, "a", 5, 1)] * 2
+
+
+def test_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    names = ("bucket", "whole", "part", "cut", "before", "more", "repeats", "available_tokens", "used_docs")
+    sized = table(spark, [(i, "a", 3) for i in range(50)]).withColumns({n: F.lit("x") for n in names})
+    wanted = targets(spark, [("a", 1.0, 1)]).withColumns({n: F.lit("x") for n in names})
+    mix = mix_sources(sized, wanted, total=75)
+    assert sum(r.n_tokens for r in mix.collect()) == 75
+    assert reached_shares(mix, sized, wanted).first().share == 1.0
