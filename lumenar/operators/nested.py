@@ -328,7 +328,13 @@ def _node_array(per: list[list], node_type: pa.DataType) -> pa.Array:
 
 
 def explode_nodes(df: DataFrame, nodes: str = "nodes") -> DataFrame:
-    """One row per node, with ``collection`` (its path without list places: the flat table it belongs to) and ``ordinal``."""
+    """One row per node, with ``collection`` (its path without list places: the flat table it belongs to) and ``ordinal``.
+
+    Columns of these names in ``df`` raise ValueError.
+    """
+    clash = set(df.columns) & {"node_path", "parent_path", "n_fields", "fields", "collection", "ordinal"}
+    if clash:
+        raise ValueError(f"columns exist already: {sorted(clash)}")
     rest = [F.col(f"`{c}`") for c in df.columns if c != nodes]
     node = F.col("__lumenar_node")
     return (
