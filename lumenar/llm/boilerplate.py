@@ -244,27 +244,31 @@ def _explode_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.list_(pa.int64())))], names=["page_id", "ingested_at", "keys"])
 
 
-def _likeliest(stats: list[dict | None], prior: float) -> list[bool]:
-    """Most likely labels of a line sequence, given label and succession counts of each line's key."""
+def _likeliest(stats: list[dict | None]) -> list[bool]:
+    """Most likely labels of a line sequence, given what is known of each line's key.
+
+    ``n{y}{z}`` counts its lines labelled y before one labelled z, ``b{y}{z}`` those labelled z after
+    one labelled y. Lines without counts say nothing.
+    """
+    totals = [sum(s[f"n{y}0"] + s[f"n{y}1"] for s in stats if s) for y in (0, 1)]
+    prior = min(max((totals[1] + 1.0) / (sum(totals) + 2.0), 0.05), 0.95)
     log_prior = [math.log(1 - prior), math.log(prior)]
     best: list[float] = []
     back: list[list[int]] = []
-    before: dict | None = None
+    before: list[list[float]] | None = None
     for k, s in enumerate(stats):
-        counts = [[1.0, 1.0], [1.0, 1.0]]
-        if s:
-            counts = [[s["n00"] + 0.2, s["n01"] + 0.2], [s["n10"] + 0.2, s["n11"] + 0.2]]
-        total = sum(map(sum, counts))
-        own = [math.log(sum(counts[y]) / total) for y in (0, 1)] if s else log_prior
+        after = [[s[f"n{y}{z}"] + 0.2 for z in (0, 1)] for y in (0, 1)] if s else [[1.0, 1.0], [1.0, 1.0]]
+        ahead = [[s[f"b{y}{z}"] + 0.2 for z in (0, 1)] for y in (0, 1)] if s else [[1.0, 1.0], [1.0, 1.0]]
+        own = [math.log(sum(after[y]) / sum(map(sum, after))) for y in (0, 1)] if s else log_prior
         if k == 0:
             best = own
             back.append([0, 0])
         else:
-            step = [[math.log(before[y][z] / sum(before[y])) for z in (0, 1)] for y in (0, 1)]
+            step = [[math.log(before[y][z] / sum(before[y])) + math.log(ahead[y][z] / (ahead[0][z] + ahead[1][z])) - log_prior[y] for z in (0, 1)] for y in (0, 1)]
             choice = [max((0, 1), key=lambda y, z=z: best[y] + step[y][z]) for z in (0, 1)]
             best = [best[choice[z]] + step[choice[z]][z] + own[z] - log_prior[z] for z in (0, 1)]
             back.append(choice)
-        before = counts
+        before = after
     label = 1 if best[1] > best[0] else 0
     labels = []
     for choice in reversed(back):
@@ -276,8 +280,8 @@ def _likeliest(stats: list[dict | None], prior: float) -> list[bool]:
 def _decode_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         flags = []
-        for lines, prior in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            labels = _likeliest([x["stat"] for x in sorted(lines, key=lambda x: x["line_no"])], min(max(prior or 0.5, 0.01), 0.99))
+        for lines in batch.column(2).to_pylist():
+            labels = _likeliest([x["stat"] for x in sorted(lines, key=lambda x: x["line_no"])])
             flags.append(labels if sum(labels) > 1 else [False] * len(labels))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(flags, pa.list_(pa.bool_()))], names=["page_id", "ingested_at", "flags"])
 
@@ -287,20 +291,20 @@ def _label_text_only(text_only: DataFrame, labelled: DataFrame) -> DataFrame:
     lines = keyed.select("page_id", "ingested_at", F.posexplode("keys").alias("line_no", "key"))
     levels = lines.select("page_id", "ingested_at", "line_no", F.posexplode("key").alias("level", "key"))
     wanted = levels.select("key").distinct()
-    following = F.coalesce(F.get("flags", F.col("i") + 1), F.lit(False))
+    beside = lambda step: F.coalesce(F.get("flags", F.col("i") + step), F.lit(False))
     seen = (
         labelled.filter("keys is not null and size(keys) = size(flags)")
         .select("flags", F.posexplode("keys").alias("i", "key"))
-        .select(F.get("flags", F.col("i")).alias("y"), following.alias("z"), F.explode("key").alias("key"))
+        .select(F.get("flags", F.col("i")).alias("y"), beside(1).alias("z"), beside(-1).alias("x"), F.explode("key").alias("key"))
     )
-    tally = {f"n{y}{z}": F.sum(((F.col("y") == bool(y)) & (F.col("z") == bool(z))).cast("double")).alias(f"n{y}{z}") for y in (0, 1) for z in (0, 1)}
+    both = lambda a, y, b, z: F.sum(((F.col(a) == bool(y)) & (F.col(b) == bool(z))).cast("double"))
+    tally = {f"n{y}{z}": both("y", y, "z", z).alias(f"n{y}{z}") for y in (0, 1) for z in (0, 1)} | {f"b{y}{z}": both("x", y, "y", z).alias(f"b{y}{z}") for y in (0, 1) for z in (0, 1)}
     stats = seen.join(wanted, "key", "left_semi").groupBy("key").agg(*tally.values())
-    prior = labelled.select(F.sum(F.size(F.filter("flags", lambda f: f))).alias("a"), F.sum(F.size("flags")).alias("b")).select((F.col("a") / F.col("b")).alias("prior"))
     enough = F.col("n00") + F.col("n01") + F.col("n10") + F.col("n11") >= 2
     stat = F.struct("level", F.struct(*tally).alias("stat"))
     per_line = levels.join(stats, "key", "left").groupBy("page_id", "ingested_at", "line_no").agg(F.min(F.when(enough, stat)).alias("s"))
     pages = per_line.groupBy("page_id", "ingested_at").agg(F.collect_list(F.struct("line_no", F.col("s.stat").alias("stat"))).alias("lines"))
-    return pages.crossJoin(F.broadcast(prior)).mapInArrow(_decode_batches, "page_id bigint, ingested_at timestamp, flags array<boolean>")
+    return pages.mapInArrow(_decode_batches, "page_id bigint, ingested_at timestamp, flags array<boolean>")
 
 
 def content_lines(pages: DataFrame) -> DataFrame:
