@@ -147,10 +147,13 @@ def garbled_words(documents: DataFrame, text: str = "text") -> DataFrame:
 
 
 def garbled_documents(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, fixes array<struct<word, original>>``: one row per hit."""
+    """``key, fixes array<struct<word, original>>``: one row per hit.
+
+    A single sign may stand for itself, so a text needs a garbled word of two characters or more.
+    """
     bad = cut_lineage(garbled_words(documents, text))
     words = documents.select(F.col(f"`{key}`").alias(key), F.explode(F.array_distinct(F.regexp_extract_all(F.col(f"`{text}`"), F.lit(WORD), F.lit(0)))).alias("word"))
-    return words.join(bad, "word").groupBy(key).agg(F.sort_array(F.collect_set(F.struct("word", "original"))).alias("fixes"))
+    return words.join(bad, "word").groupBy(key).agg(F.sort_array(F.collect_set(F.struct("word", "original"))).alias("fixes")).filter(F.exists("fixes", lambda f: F.length(f.word) > 1))
 
 
 def _mend_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

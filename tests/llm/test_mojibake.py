@@ -41,3 +41,7 @@ def test_forms():
     forms = garbled_forms("ção")
     assert forms["Ã§Ã£o"] is True and forms["Á„o"] is False and "ção" not in forms
     assert garbled_forms("abc") == {}
+
+
+def test_a_single_sign_may_stand_for_itself(spark):
+    assert garbled_documents(table(spark, ["vou à praia à noite"] * 9 + ["wait … for it"])).count() == 0
