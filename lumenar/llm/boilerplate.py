@@ -31,7 +31,7 @@ from lumenar.session import cut_lineage
 
 SIGMA = 1.0  # of the Gaussian, in lines
 RADIUS = 3
-MIN_TEXT = 60  # characters of a line of some length; of running text a nested container needs
+MIN_TEXT = 60  # characters of a line of some length; a nested container needs one
 NESTED_SHARE = 0.5  # of the region's text a nested container needs to count
 LINK_SHARE = 0.5  # of a block's text from which it counts as a link list
 LOW_WEIGHT = 0.5  # of text in the low cluster, where the region has the page's headline
@@ -132,6 +132,7 @@ def content_flags(events: LineEvents) -> list[bool]:
             link_text[block] = link_text.get(block, 0.0) + chars
     running = [link_text.get(x[3], 0.0) < LINK_SHARE * block_text[x[3]] for x in lines]
     mass: dict[int, float] = {}
+    longest: dict[int, float] = {}
     headed: dict[int, float] = {}
     for x in lines:
         if x[5]:
@@ -140,6 +141,7 @@ def content_flags(events: LineEvents) -> list[bool]:
         if ok and not head:
             if high:
                 mass[container] = mass.get(container, 0.0) + chars
+                longest[container] = max(longest.get(container, 0.0), chars)
             if container in headed:
                 headed[container] += chars * (1.0 if high else LOW_WEIGHT)
     headed = {c: m for c, m in headed.items() if m > 0}
@@ -154,7 +156,7 @@ def content_flags(events: LineEvents) -> list[bool]:
     least = NESTED_SHARE * max(headed.get(region, 0.0), mass.get(region, 0.0))
     inside = {region}
     for c in range(region + 1, len(events.above)):
-        if events.above[c] in inside and mass.get(c, 0.0) >= max(MIN_TEXT, least):
+        if events.above[c] in inside and mass.get(c, 0.0) >= least and longest.get(c, 0.0) >= MIN_TEXT:
             inside.add(c)
     return [bool(x[2] in inside and ok) for x, ok in zip(lines, running)]
 
