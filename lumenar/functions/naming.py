@@ -52,16 +52,20 @@ def _numbered(name: Column, number: Column) -> Column:
     return F.when(number == 0, name).otherwise(F.concat(stem, F.lit("_"), number, ext))
 
 
-def unique_names(df: DataFrame, name: str, order: list[str], out: str = "unique_name") -> DataFrame:
+def unique_names(df: DataFrame, name: str, order: list[str], out: str = "unique_name", existing: DataFrame | None = None) -> DataFrame:
     """Add ``out``: ``name`` for the first row that asks for it, then ``stem_1.ext``, ``stem_2.ext``, ….
 
-    A numbered name that another row asks for literally is skipped: names never collide. The
-    numbering of one name is one window; a name asked for by a third of all rows is sorted by one
+    A numbered name that another row asks for literally, or that is in ``existing`` (a column of the
+    same name), is skipped: names never collide. A null name stays null. The numbering of one name is one window; a name asked for by a third of all rows is sorted by one
     task, which spills and does not hold the group in memory.
     """
     place, taken, limit = "__lumenar_place", "__lumenar_taken", "__lumenar_n"
-    ranked = df.withColumn(place, F.row_number().over(Window.partitionBy(name).orderBy(*order)) - 1)
-    counts = df.groupBy(name).agg(F.count("*").alias(limit))
+    held = "__lumenar_held"
+    given = df.withColumn(held, F.lit(False))
+    if existing is not None:
+        given = given.unionByName(existing.select(name).distinct().withColumn(held, F.lit(True)), allowMissingColumns=True)
+    ranked = given.withColumn(place, F.row_number().over(Window.partitionBy(name).orderBy(F.desc(held), *order)) - 1).filter(~F.col(held))
+    counts = given.groupBy(name).agg(F.count("*").alias(limit))
     stem = F.regexp_extract(name, r"^(.*)_(\d+)(\.[^./]*)?$", 1)
     literal = (
         counts.filter(F.col(name).rlike(r"_[1-9]\d{0,8}(\.[^./]*)?$"))

@@ -12,13 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Scripts by task, and the order of the next-task scan.
-SCRIPTS = {
-    "perform_download": "bin/call_download.py",
-    "apply_watermark": "bin/call_watermark.py",
-    "generate_captions": "bin/call_captions.py",
-    "post_process": "bin/call_screenshots.py",
-}
+#: Step by task; pass your own programs to ``dispatch_plan``. Tasks without one can't be dispatched.
+SCRIPTS = {"perform_download": "download", "apply_watermark": "watermark", "generate_captions": "captions", "post_process": "screenshots"}
+# The order of the next-task scan.
 SCAN_ORDER = ("perform_download", "apply_watermark", "generate_captions", "post_process")
 
 
@@ -93,9 +89,9 @@ def next_task(ledger: Column, order: tuple[str, ...] = SCAN_ORDER) -> Column:
     return F.get(tasks, F.lit(0))
 
 
-def dispatch_plan(df: DataFrame, ledger: str, url: str, to_process: str) -> DataFrame:
+def dispatch_plan(df: DataFrame, ledger: str, url: str, to_process: str, scripts: dict[str, str] | None = None) -> DataFrame:
     """Per ledger entry, in order: ``pos, task, script, input, action`` (NO_SCRIPT, RUN, DONE or SKIP)."""
-    script = F.create_map(*[F.lit(x) for pair in SCRIPTS.items() for x in pair])[F.col("task")]
+    script = F.create_map(*[F.lit(x) for pair in (scripts or SCRIPTS).items() for x in pair])[F.col("task")]
     rows = entries(df, ledger).withColumn("script", script)
     action = F.when(F.col("script").isNull(), "NO_SCRIPT").when(F.col("state") == "PENDING", "RUN").when(F.col("state") == "DONE", "DONE").otherwise("SKIP")
     given = F.when(F.col("task") == "perform_download", F.col(url)).otherwise(F.col(to_process))

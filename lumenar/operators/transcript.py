@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenar.functions.text import clock, first_filled, strip
+from lumenar.sources.connectors import Connector, apply_connector
 
 CHUNK_SECONDS = 60
 UNINTELLIGIBLE = "[Unintelligible]"
@@ -72,6 +73,27 @@ def reuse_transcripts(chunks: DataFrame, cache: DataFrame, keys: list[str], reco
     return joined.select(*chunks.columns, value.alias(text), status.alias("status"))
 
 
+def recognised_chunks(media: DataFrame, path: str, duration: str, make: Callable[[], Connector], cache: DataFrame | None = None, attempts: int = 3) -> DataFrame:
+    """Each medium's chunks with what a recogniser makes of them: ``chunk_start, chunk_end, chunk_text, status``.
+
+    The recogniser is called with ``path#start-end``, up to ``attempts`` times, and only for chunks
+    that ``cache`` (``path, chunk_start, chunk_text``) doesn't hold.
+    """
+    chunks = chunk_grid(media, duration)
+    keys = [path, "chunk_start"]
+    missing = chunks if cache is None else chunks.join(cache.select(*keys), keys, "left_anti")
+    given = F.concat(F.col(path), F.lit("#"), F.col("chunk_start"), F.lit("-"), F.col("chunk_end"))
+    called = apply_connector(missing.withColumn("__lumenar_given", given), "__lumenar_given", "__lumenar_new", make, attempts)
+    new = F.col("__lumenar_new")
+    text = F.when(new == "", UNINTELLIGIBLE).otherwise(F.coalesce(new, F.lit(NO_TRANSCRIPT)))
+    status = F.when(new.isNull(), "FAILED").when(new == "", "UNINTELLIGIBLE").otherwise("DONE")
+    made = called.select(*chunks.columns, text.alias("chunk_text"), status.alias("status"))
+    if cache is None:
+        return made
+    held = chunks.join(cache.select(*keys, "chunk_text").dropDuplicates(keys), keys).select(*chunks.columns, "chunk_text", F.lit("CACHED").alias("status"))
+    return made.unionByName(held)
+
+
 def align_to_segments(sentences: list[str], segments: list[tuple[float | None, float | None, str]]) -> list[tuple[str, float | None, float | None]]:
     """Each sentence with the start of the first and the end of the last segment it uses up.
 

@@ -5,12 +5,14 @@ from __future__ import annotations
 import io
 import json
 import tarfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenar.sources.connectors import Connector, apply_connector, drive_archives
+
 CLIP_TYPE = "array<struct<name:string,start:double,end:double,text:string>>"
 
 
@@ -70,6 +72,19 @@ def clip_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, f"path string, clips {CLIP_TYPE}")
 
 
+_MEMBERS = "archive string, member string, size bigint, content binary"
+
+
+def _members(name: str, data: bytes) -> pd.DataFrame:
+    rows = []
+    try:
+        with tarfile.open(fileobj=io.BytesIO(data), mode="r:*") as archive:
+            rows = [(name, m.name, m.size, archive.extractfile(m).read()) for m in archive if m.isreg()]
+    except tarfile.TarError:
+        pass
+    return pd.DataFrame(rows, columns=["archive", "member", "size", "content"])
+
+
 def tar_members(spark: SparkSession, path: str) -> DataFrame:
     """``archive, member, size, content`` of the regular files in tar archives of any compression.
 
@@ -80,15 +95,26 @@ def tar_members(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, data in zip(batch["path"], batch["content"]):
-                rows = []
-                try:
-                    with tarfile.open(fileobj=io.BytesIO(data), mode="r:*") as archive:
-                        rows = [(name, m.name, m.size, archive.extractfile(m).read()) for m in archive if m.isreg()]
-                except tarfile.TarError:
-                    pass
-                yield pd.DataFrame(rows, columns=["archive", "member", "size", "content"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "archive string, member string, size bigint, content binary")
+                yield _members(name, data)
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, _MEMBERS)
+
+
+def fetched_archives(df: DataFrame, url: str, make: Callable[[], Connector]) -> DataFrame:
+    """``archive, member, size, content`` of shared-drive archives.
+
+    ``make`` gives a downloader that is called with a file's id and returns the path it stored it
+    under; a failed download gives no rows, an address of another host is an error.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path in batch["path"]:
+                with open(path, "rb") as f:
+                    yield _members(path, f.read())
+
+    stored = apply_connector(drive_archives(df, url), "file_id", "path", make)
+    return stored.filter("path is not null").select("path").mapInPandas(run, _MEMBERS)
 
 
 def url_batch(spark: SparkSession, path: str) -> DataFrame:

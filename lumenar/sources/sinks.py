@@ -65,6 +65,16 @@ def article_outputs(pages: DataFrame, slug: str, plain: str, marked: str, html:
     return pages.select(F.explode(parts).alias("f")).select("f.*").filter("body is not null")
 
 
+def clip_document(clips: DataFrame, name: str = "name", order: str = "pos") -> DataFrame:
+    """``body``: one document of clip lists by name, in order; JSON, which YAML readers read as well.
+
+    A single value, for lists that fit in one file.
+    """
+    entry = F.struct(F.col(order).alias("o"), F.struct("start", "end", "text").alias("clip"))
+    lists = clips.groupBy(name).agg(F.transform(F.sort_array(F.collect_list(entry)), lambda x: x.clip).alias("clips"))
+    return lists.select(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct(name, "clips"))))).alias("body"))
+
+
 def transcripts_map(df: DataFrame, path: str, text: str) -> DataFrame:
     """One JSON object of texts by path: a single value, for sets that fit in one file."""
     return df.select(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct(path, text))))).alias("transcripts"))

@@ -43,6 +43,9 @@ def test_names(spark):
     rows = spark.createDataFrame([(1, "x.mp4"), (2, "x.mp4"), (3, "x_1.mp4"), (4, "x.mp4"), (5, "y"), (6, "y"), (7, None)], "i int, n string")
     found = {r.i: r.unique_name for r in naming.unique_names(rows, "n", ["i"]).collect()}
     assert found[1] == "x.mp4" and found[3] == "x_1.mp4" and len({v for v in found.values() if v}) == 6 and found[2] == "x_2.mp4" and found[4] == "x_3.mp4" and found[6] == "y_1"
+    taken = spark.createDataFrame([("x.mp4",), ("x_3.mp4",), ("other",)], "n string")
+    found = {r.i: r.unique_name for r in naming.unique_names(rows, "n", ["i"], existing=taken).collect()}
+    assert set(found) == set(range(1, 8)) and found[3] == "x_1.mp4" and {found[1], found[2], found[4]} == {"x_2.mp4", "x_4.mp4", "x_5.mp4"} and found[5] == "y"
     df = spark.createDataFrame([('{"uploader": null, "uploader_id": "b", "title": "a b", "width": 3}',), ('{"uploader_id": "b"}',), ("[1]",), ("bad",), (None,)], "j string")
     got = naming.masked_metadata(df, "j").collect()
     assert [(r.uploader, r.video_title, r.width) for r in got] == [(None, "a_b", "3"), ("b", None, None), (None, None, None), (None, None, None), (None, None, None)]
@@ -140,6 +143,14 @@ def test_sources(spark, tmp_path):
     (tmp_path / "bad.tar").write_bytes(b"no archive")
     members = readers.tar_members(spark, str(tmp_path / "*tar*")).collect()
     assert sorted((r.member, bytes(r.content)) for r in members) == [("../up.txt", b"x"), ("hello.txt", b"hello world")]
+    where = str(tmp_path / "t.tar.gz")
+
+    class Stored(connectors.Downloader):
+        def call(self, given):
+            return where if given == "0123456789ab" else None
+
+    drive = spark.createDataFrame([("https://drive.google.com/file/d/0123456789ab/view",), ("https://drive.google.com/file/d/missing-file-id/view",)], "u string")
+    assert readers.fetched_archives(drive, "u", Stored).count() == 2
     (tmp_path / "clips.json").write_text('{"one": [{"start": 1, "end": 2, "text": "t"}], "two": [[3, 4]]}')
     (tmp_path / "clips2.json").write_text("nope")
     loaded = {r.path.rsplit("/", 1)[1]: r.clips for r in readers.clip_files(spark, str(tmp_path / "clips*.json")).collect()}
@@ -157,6 +168,8 @@ def test_sinks(spark, tmp_path):
     assert (tmp_path / "x/a.txt").read_text(encoding="utf-8") == "é"
     sinks.copy_files(spark.createDataFrame([(str(tmp_path / "x/a.txt"), str(tmp_path / "y/b.txt")), (str(tmp_path / "none"), str(tmp_path / "y/c.txt"))], "s string, t string"), "s", "t", move=True)
     assert (tmp_path / "y/b.txt").exists() and not (tmp_path / "x/a.txt").exists() and not (tmp_path / "y/c.txt").exists()
+    listed = spark.createDataFrame([("b", 0, 1.0, None, "t"), ("a", 1, 3.0, 4.0, None), ("a", 0, 1.0, 2.0, "x")], "name string, pos int, start double, end double, text string")
+    assert json.loads(sinks.clip_document(listed).first().body) == {"a": [{"start": 1.0, "end": 2.0, "text": "x"}, {"start": 3.0, "end": 4.0}], "b": [{"start": 1.0, "text": "t"}]}
     logger = sinks.initialise_logging(str(tmp_path / "log"), "lumenar-test")
     assert sinks.initialise_logging(str(tmp_path / "log"), "lumenar-test") is logger and len(logger.handlers) == 2
     manifest = sinks.run_manifest(["u"], {"a": 1})
@@ -174,6 +187,17 @@ def test_connectors(spark):
 
     df = spark.createDataFrame([("a",), ("bad",), (None,)], "p string")
     assert [r.t for r in connectors.apply_connector(df, "p", "t", Echo).collect()] == ["A", None, None]
+    media = spark.createDataFrame([("bad.mp4", 70.0), ("a.mp4", 130.0)], "path string, d double")
+    cache = spark.createDataFrame([("a.mp4", 60, "held")], "path string, chunk_start long, chunk_text string")
+
+    class Minute(connectors.Recogniser):
+        def call(self, given):
+            return None if given.startswith("bad") else "" if given.endswith("-60") else given
+
+    rows = transcript.recognised_chunks(media, "path", "d", Minute, cache, attempts=1).collect()
+    assert sorted((r.path, r.chunk_start, r.chunk_text, r.status) for r in rows) == [
+        ("a.mp4", 0, "[Unintelligible]", "UNINTELLIGIBLE"), ("a.mp4", 60, "held", "CACHED"), ("a.mp4", 120, "a.mp4#120-130", "DONE"),
+        ("bad.mp4", 0, "[ERROR: No transcript]", "FAILED"), ("bad.mp4", 60, "[ERROR: No transcript]", "FAILED")]
     waits, tries = [], []
     assert connectors.with_retries(lambda g: tries.append(g), "x", 3, waits.append) is None and waits == [1.0, 2.0] and len(tries) == 3
     links = spark.createDataFrame([("https://drive.google.com/file/d/0123456789ab/view",), ("https://x.org",)], "u string")
