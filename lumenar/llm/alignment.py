@@ -37,7 +37,9 @@ MIN_DOCUMENTS = 3
 MIN_SHARE = 1e-4
 #: Translations below this probability are pruned, so that a word keeps 50 at most.
 MIN_PROBABILITY = 0.02
-ROUNDS = (3, 2)  # EM steps on the first sentence pairs, and on those the tables find
+#: EM steps on the first sentence pairs; further entries are steps on the pairs the tables then find. On
+#: 8,000 posts (3, 2) and (4,) give 59,497 and 59,494 links, of which 5 differ.
+ROUNDS = (4,)
 NULL_WEIGHT = 0.02
 LINK_SCORE = 0.37
 USED_MATCH = 0.25
@@ -378,22 +380,23 @@ def _pair_batches(lex_of, linked: bool):
 
 
 def _expect_batches(lex_of, first: bool):
-    """Expected counts of a partition's word pairs."""
+    """Expected counts of a partition's word pairs; after the first step only pairs of the tables have any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = lex_of.value
-        held_keys: list[np.ndarray] = []
-        held_counts: list[np.ndarray] = []
-        held = 0
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size, sums = 0, np.zeros(lex.pair.size)
         for batch in batches:
-            keys, counts = _expected(lex, batch.column(0), batch.column(1), first)
-            held_keys.append(keys)
-            held_counts.append(counts)
-            held += keys.size
-            if held > 4_000_000:
-                merged = _merge(held_keys, held_counts)
-                held_keys, held_counts, held = [merged[0]], [merged[1]], merged[0].size
-        keys, counts = _merge(held_keys, held_counts)
+            if not first:
+                sums += _expected(lex, batch.column(0), batch.column(1), False)[1]
+                continue
+            held.append(_expected(lex, batch.column(0), batch.column(1), True))
+            size += held[-1][0].size
+            if size > 4_000_000:
+                held = [_merge(*map(list, zip(*held)))]
+                size = held[0][0].size
+        keys, counts = _merge(*map(list, zip(*held))) if held else (lex.pair, sums)
+        keys, counts = keys[counts > 0], counts[counts > 0]
         for at in range(0, keys.size, 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 100_000]), pa.array(counts[at : at + 100_000])], names=["pair", "n"])
 
@@ -401,33 +404,40 @@ def _expect_batches(lex_of, first: bool):
 
 
 def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    if not keys:
-        return np.zeros(0, np.int64), np.zeros(0)
     key, place = np.unique(np.concatenate(keys), return_inverse=True)
     return key, np.bincount(place, np.concatenate(counts), key.size)
 
 
 def _expected(lex: Lexicon, source: pa.ListArray, target: pa.ListArray, first: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Word pairs and their expected counts; all pairs alike in the first step, those of the tables later.
+
+    Target words are independent of each other, so they are taken as many at a time as fit in memory.
+    """
     s, t = source.flatten().to_numpy(zero_copy_only=False).astype(np.int64), target.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
     s_len, t_len = np.asarray(source.value_lengths()).astype(np.int64), np.asarray(target.value_lengths()).astype(np.int64)
-    s_from = np.cumsum(s_len) - s_len
     width = np.repeat(s_len, t_len)  # source words against each target word
-    total = int(width.sum())
-    if not total:
-        return np.zeros(0, np.int64), np.zeros(0)
-    t_at = np.repeat(np.arange(t.size), width)
-    inner = np.arange(total) - np.repeat(np.cumsum(width) - width, width)
-    s_at = np.repeat(np.repeat(s_from, t_len), width) + inner
-    keys = s[s_at] * lex.width + t[t_at]
+    begin = np.repeat(np.cumsum(s_len) - s_len, t_len)
+    ends = np.cumsum(width)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    sums = np.zeros(lex.pair.size)
+    at = 0
+    while at < t.size:
+        until = max(at + 1, int(np.searchsorted(ends, ends[at] - width[at] + MATRIX_CELLS, "right")))
+        w = width[at:until]
+        t_at = np.repeat(np.arange(w.size), w)
+        s_at = np.repeat(begin[at:until], w) + np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
+        keys = s[s_at] * lex.width + t[at:until][t_at]
+        if first:
+            found.append(_merge([keys], [1.0 / (w + NULL_WEIGHT)[t_at]]))
+        else:
+            place, ok = lex.find(keys)
+            place, t_at = place[ok], t_at[ok]
+            weight = lex.forward[place]
+            sums += np.bincount(place, weight / (np.bincount(t_at, weight, w.size) + NULL_WEIGHT)[t_at], lex.pair.size)
+        at = until
     if first:
-        weight = np.ones(total)
-    else:
-        at, ok = lex.find(keys)
-        weight = np.where(ok, lex.forward[at], 0.0)
-    share = np.bincount(t_at, weight, t.size) + NULL_WEIGHT
-    weight = weight / share[t_at]
-    keep = weight > 1e-3
-    return _merge([keys[keep]], [weight[keep]])
+        return _merge(*map(list, zip(*found))) if found else (np.zeros(0, np.int64), np.zeros(0))
+    return lex.pair, sums
 
 
 def _maximise(pairs: DataFrame, lex: Lexicon, first: bool) -> Lexicon:
