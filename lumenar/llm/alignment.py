@@ -101,6 +101,14 @@ class Lexicon:
     def width(self) -> int:
         return max(1, len(self.target))
 
+    def target_of(self, lang: str) -> dict[str, int]:
+        """Target ids of one language by word."""
+        if not hasattr(self, "by_lang"):
+            self.by_lang: dict[str, dict[str, int]] = {}
+            for (of, word), i in self.target.items():
+                self.by_lang.setdefault(of, {})[word] = i
+        return self.by_lang.get(lang, {})
+
     def lang_starts(self) -> list[int]:
         """First target id of each language; ids are in order of language."""
         first: dict[str, int] = {}
@@ -159,26 +167,58 @@ def _vocabulary(docs: DataFrame) -> Lexicon:
     return Lexicon(source, target, clip(weight_s), clip(weight_t), max(rare, 0.1), empty.astype(np.int64), empty, empty)
 
 
+class _Side:
+    """Words of one text: sentence of each, place of each sentence's first word, ids and weights."""
+
+    def __init__(self, sentences: list[list[str]], ids: dict[str, int], weights: np.ndarray, rare: float, alike: dict[str, int], other: int) -> None:
+        words = [w for x in sentences for w in x]
+        sizes = [len(x) for x in sentences]
+        self.n = len(sentences)
+        self.of = np.repeat(np.arange(self.n), sizes)
+        ends = np.cumsum(sizes)
+        full = np.array(sizes) > 0
+        self.first = (ends - sizes)[full] if sizes else np.zeros(0, np.int64)
+        self.filled = None if full.all() else np.flatnonzero(full)  # None: every sentence has words
+        self.id = np.array([ids.get(w, -1) for w in words], np.int64)
+        self.code = np.array([alike.get(w, other) for w in words], np.int64)
+        known = self.id >= 0
+        self.weight = np.where(known, weights[self.id] if len(ids) else 0.0, rare)
+        # a rare word written in one text only says little
+        self.weight[~known & (self.code < 0)] *= LONE_RARE
+
+    def best(self, values: np.ndarray, axis: int) -> np.ndarray:
+        """Maximum over the words of each sentence along ``axis`` (sentences without words give 0)."""
+        return self._reduce(np.maximum, values, axis)
+
+    def total(self, values: np.ndarray) -> np.ndarray:
+        """Sum over the words of each sentence along the first axis."""
+        return self._reduce(np.add, values, 0)
+
+    def _reduce(self, how: np.ufunc, values: np.ndarray, axis: int) -> np.ndarray:
+        if self.filled is None and self.n:
+            return how.reduceat(values, self.first, axis=axis)
+        shape = list(values.shape)
+        shape[axis] = self.n
+        out = np.zeros(shape)
+        if self.first.size:
+            index: list = [slice(None)] * values.ndim
+            index[axis] = self.filled
+            out[tuple(index)] = how.reduceat(values, self.first, axis=axis)
+        return out
+
+
 class _Document:
     """Words of one document's two texts as flat arrays."""
 
     def __init__(self, lex: Lexicon, lang: str, source: list[list[str]], target: list[list[str]]) -> None:
         self.n, self.m = len(source), len(target)
         self.source, self.target = source, target
-        s = [w for x in source for w in x]
-        t = [w for x in target for w in x]
-        self.s_of = np.repeat(np.arange(self.n), [len(x) for x in source])
-        self.t_of = np.repeat(np.arange(self.m), [len(x) for x in target])
-        self.s_id = np.array([lex.source.get(w, -1) for w in s], np.int64)
-        self.t_id = np.array([lex.target.get((lang, w), -1) for w in t], np.int64)
-        self.s_weight = np.where(self.s_id >= 0, lex.source_weight[self.s_id] if len(lex.source) else 0.0, lex.rare_weight)
-        self.t_weight = np.where(self.t_id >= 0, lex.target_weight[self.t_id] if len(lex.target) else 0.0, lex.rare_weight)
-        alike: dict[str, int] = {}
-        code = lambda w, k: alike.setdefault(w, len(alike)) if len(w) >= 4 or w.isdigit() else -k
-        self.s_code, self.t_code = np.array([code(w, 1) for w in s], np.int64), np.array([code(w, 2) for w in t], np.int64)
-        # a rare word written in one text only says little
-        self.s_weight[(self.s_id < 0) & ~np.isin(self.s_code, self.t_code)] *= LONE_RARE
-        self.t_weight[(self.t_id < 0) & ~np.isin(self.t_code, self.s_code)] *= LONE_RARE
+        shared = {w for x in source for w in x} & {w for x in target for w in x}
+        alike = {w: k for k, w in enumerate(sorted(w for w in shared if len(w) >= 4 or w.isdigit()))}
+        s = self.s = _Side(source, lex.source, lex.source_weight, lex.rare_weight, alike, -1)
+        t = self.t = _Side(target, lex.target_of(lang), lex.target_weight, lex.rare_weight, alike, -2)
+        self.s_of, self.s_id, self.s_code, self.s_weight = s.of, s.id, s.code, s.weight
+        self.t_of, self.t_id, self.t_code, self.t_weight = t.of, t.id, t.code, t.weight
 
     def matches(self, lex: Lexicon, s: slice = slice(None), t: slice = slice(None)) -> np.ndarray:
         """How well each source word and each target word explain each other, 0 to 1."""
@@ -194,36 +234,11 @@ class _Document:
         return score
 
 
-def _by_sentence(values: np.ndarray, of: np.ndarray, n: int, axis: int) -> np.ndarray:
-    """Maximum over the words of each sentence along ``axis`` (sentences without words give 0)."""
-    shape = list(values.shape)
-    shape[axis] = n
-    out = np.zeros(shape)
-    if of.size:
-        first = np.flatnonzero(np.diff(of, prepend=-1))
-        index: list = [slice(None)] * values.ndim
-        index[axis] = of[first]
-        out[tuple(index)] = np.maximum.reduceat(values, first, axis=axis)
-    return out
-
-
-def _total(values: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
-    """Sum over the words of each sentence along the first axis."""
-    out = np.zeros((n, *values.shape[1:]))
-    if of.size:
-        first = np.flatnonzero(np.diff(of, prepend=-1))
-        out[of[first]] = np.add.reduceat(values, first, axis=0)
-    return out
-
-
 def _coverage(doc: _Document, match: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Share of each source sentence explained by each target sentence, and the reverse."""
-    s_all = _total(doc.s_weight, doc.s_of, doc.n)
-    t_all = _total(doc.t_weight, doc.t_of, doc.m)
-    s_best = _by_sentence(match, doc.t_of, doc.m, 1) * doc.s_weight[:, None]
-    t_best = _by_sentence(match, doc.s_of, doc.n, 0) * doc.t_weight[None, :]
-    cover_s = _total(s_best, doc.s_of, doc.n) / np.maximum(s_all, 1e-9)[:, None]
-    cover_t = _total(t_best.T, doc.t_of, doc.m).T / np.maximum(t_all, 1e-9)[None, :]
+    s_all, t_all = doc.s.total(doc.s_weight), doc.t.total(doc.t_weight)
+    cover_s = doc.s.total(doc.t.best(match, 1) * doc.s_weight[:, None]) / np.maximum(s_all, 1e-9)[:, None]
+    cover_t = doc.t.total((doc.s.best(match, 0) * doc.t_weight[None, :]).T).T / np.maximum(t_all, 1e-9)[None, :]
     return cover_s, cover_t
 
 
@@ -267,7 +282,7 @@ class _Pieces:
 
     def scores(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         doc = self.doc
-        s_all = np.maximum(_total(doc.s_weight, doc.s_of, doc.n), 1e-9)
+        s_all = np.maximum(doc.s.total(doc.s_weight), 1e-9)
         every, end = slice(0, doc.s_id.size), 0
         for j, sentence in enumerate(doc.target):
             start, end = end, end + len(sentence)
@@ -276,8 +291,8 @@ class _Pieces:
             row_best, cover_t = np.zeros(doc.s_id.size), np.zeros(doc.n)
             for part, block in self._blocks(every, slice(start, end)):
                 row_best = np.maximum(row_best, block.max(axis=1))
-                cover_t += _by_sentence(block, doc.s_of, doc.n, 0) @ doc.t_weight[part]
-            score = _score(_total(row_best * doc.s_weight, doc.s_of, doc.n) / s_all, cover_t / doc.t_weight[start:end].sum())
+                cover_t += doc.s.best(block, 0) @ doc.t_weight[part]
+            score = _score(doc.s.total(row_best * doc.s_weight) / s_all, cover_t / doc.t_weight[start:end].sum())
             i = np.flatnonzero(score >= LINK_SCORE)
             yield score[i], i, np.full(i.size, j)
 
