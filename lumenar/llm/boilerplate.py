@@ -34,6 +34,7 @@ RADIUS = 3
 MIN_TEXT = 60  # characters of a line of some length; a nested container needs one
 NESTED_SHARE = 0.5  # of the region's text a nested container needs to count
 LINK_SHARE = 0.5  # of a block's text from which it counts as a link list
+MIN_SEEN = 10  # lines from which a key's counts are believed before a coarser key's
 LOW_WEIGHT = 0.5  # of text in the low cluster, where the region has the page's headline
 
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -199,6 +200,14 @@ def line_keys(line: str, site: str | None) -> tuple[int, int, int]:
     return tuple(xxhash.xxh64_intdigest(k.encode("utf-8", "surrogatepass")) - (1 << 63) for k in (f"L{masked}", f"F{first}", f"O{outline}"))
 
 
+def page_keys(lines: list[str], site: str | None) -> list[list[int]]:
+    """Keys of each line of a page, the most telling first: the line, its outline between its neighbours', with its first word, alone."""
+    single = [line_keys(x, site) for x in lines]
+    beside = [0, *[k[1] for k in single], 0]
+    around = [xxhash.xxh64_intdigest(f"{beside[i]} {k[2]} {beside[i + 2]}") - (1 << 63) for i, k in enumerate(single)]
+    return [[k[0], a, k[1], k[2]] for k, a in zip(single, around)]
+
+
 _LABELLED = "page_id bigint, ingested_at timestamp, flags array<boolean>, keys array<array<bigint>>, has_text boolean"
 
 
@@ -214,7 +223,7 @@ def _label_batches(keep_keys: bool):
                     continue
                 events = page_lines(html)
                 flags.append(content_flags(events))
-                keys.append([line_keys(x[0], site) for x in events.lines] if keep_keys else None)
+                keys.append(page_keys([x[0] for x in events.lines], site) if keep_keys else None)
                 if text is not None:
                     flags[-1] = _align(flags[-1], events, text)
             yield pa.RecordBatch.from_arrays(
@@ -242,7 +251,7 @@ def _align(flags: list[bool], events: LineEvents, text: str) -> list[bool]:
 
 def _explode_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys = [[line_keys(x, site) for x in text.split("\n")] for site, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+        keys = [page_keys(text.split("\n"), site) for site, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.list_(pa.int64())))], names=["page_id", "ingested_at", "keys"])
 
 
@@ -302,7 +311,7 @@ def _label_text_only(text_only: DataFrame, labelled: DataFrame) -> DataFrame:
     both = lambda a, y, b, z: F.sum(((F.col(a) == bool(y)) & (F.col(b) == bool(z))).cast("double"))
     tally = {f"n{y}{z}": both("y", y, "z", z).alias(f"n{y}{z}") for y in (0, 1) for z in (0, 1)} | {f"b{y}{z}": both("x", y, "y", z).alias(f"b{y}{z}") for y in (0, 1) for z in (0, 1)}
     stats = seen.join(wanted, "key", "left_semi").groupBy("key").agg(*tally.values())
-    enough = F.col("n00") + F.col("n01") + F.col("n10") + F.col("n11") >= 2
+    enough = F.col("n00") + F.col("n01") + F.col("n10") + F.col("n11") >= MIN_SEEN
     stat = F.struct("level", F.struct(*tally).alias("stat"))
     per_line = levels.join(stats, "key", "left").groupBy("page_id", "ingested_at", "line_no").agg(F.min(F.when(enough, stat)).alias("s"))
     pages = per_line.groupBy("page_id", "ingested_at").agg(F.collect_list(F.struct("line_no", F.col("s.stat").alias("stat"))).alias("lines"))
