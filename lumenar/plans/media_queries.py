@@ -573,7 +573,7 @@ _HZ = (
     + " END + (TRY_CAST(regexp_extract(pitch, '^[A-G]#?([0-9])$', 1) AS INT) + 1) * 12 - 69) / 12.0) END"
 )
 _BEAT = "CASE coalesce(duration, 'quarter') " + " ".join(f"WHEN '{n}' THEN {b}" for n, b in notes.BEATS.items()) + " ELSE 1.0 END"
-_RATE = 160
+_RATE = notes.RATE
 _N = f"CAST(trunc({_RATE} * 60.0 / tempo_bpm * {_BEAT}) AS BIGINT)"
 
 
@@ -598,23 +598,20 @@ _SAMPLES = (
 
 @query(f"SELECT song, pos, count(*) AS n, max(abs(sample)) AS peak FROM {_SAMPLES} GROUP BY song, pos")
 def note_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    samples = notes.note_samples(_notes(spark, sf_dir), _RATE)
-    return samples.groupBy("song", "pos").agg(F.count("*").alias("n"), F.max(F.abs("sample")).alias("peak"))
+    return notes.note_pieces(_notes(spark, sf_dir), _RATE).select("song", "pos", "n", "peak")
 
 
 @query(
     f"SELECT song, count(*) AS n, max(abs(CAST(trunc(sample * 32767 / greatest(peak, 1)) AS INT))) AS peak FROM (SELECT *, max(abs(sample)) OVER (PARTITION BY song) AS peak FROM {_SAMPLES}) GROUP BY song"
 )
 def note_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    samples = notes.normalised(notes.note_samples(_notes(spark, sf_dir), _RATE))
-    return samples.groupBy("song").agg(F.count("*").alias("n"), F.max(F.abs(F.col("sample").cast("int"))).alias("peak"))
+    return notes.normalised_pieces(_notes(spark, sf_dir), _RATE).groupBy("song").agg(F.sum("n").alias("n"), F.max("peak").alias("peak"))
 
 
 @query()
 def note_wave(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """WAV files of all songs at a low rate: their sizes."""
-    samples = notes.normalised(notes.note_samples(_notes(spark, sf_dir), _RATE))
-    return notes.wave_files(samples, _RATE).select("song", F.length("wav").alias("n_bytes"))
+    """WAV files of all songs: their sizes."""
+    return notes.wave_pieces(_notes(spark, sf_dir), _RATE).groupBy("song").agg(F.sum(F.length("piece")).alias("n_bytes"))
 
 
 @query("SELECT event_id AS song, 0 AS pos, 'A4' AS pitch, CAST(NULL AS VARCHAR) AS duration, 100 + event_id % 2 AS tempo_bpm FROM events UNION ALL SELECT event_id, 1, 'rest', 'half', 100 + event_id % 2 FROM events")

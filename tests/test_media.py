@@ -1,6 +1,9 @@
 import io
 import json
+import math
+import struct
 import tarfile
+import wave
 
 import pytest
 from pyspark.sql import functions as F
@@ -122,6 +125,39 @@ def test_notes(spark):
     assert notes.normalised(notes.note_samples(listed.filter("pitch = 'rest'"), 80)).agg(F.max("sample").alias("m")).first().m == 0
 
 
+def _by_hand(song):
+    """WAV of ``(hz, n)`` notes, sample by sample."""
+    audio = [int(16383 * math.sin(2 * math.pi * hz * i / notes.RATE)) for hz, n in song for i in range(n)]
+    top = max(map(abs, audio)) or 1
+    buffer = io.BytesIO()
+    with wave.open(buffer, "wb") as out:
+        out.setnchannels(1)
+        out.setsampwidth(2)
+        out.setframerate(notes.RATE)
+        out.writeframes(struct.pack(f"<{len(audio)}h", *[int(s * 32767 / top) for s in audio]))
+    return buffer.getvalue()
+
+
+def test_notes_at_full_rate(spark):
+    from lumenar.plans import media_queries
+
+    assert media_queries._RATE == notes.RATE == 44100
+    rows = [("a", 2, "A4", "sixteenth", 120), ("a", 10, "C#7", "eighth", 90), ("a", 1, "rest", "sixteenth", 60), ("a", 3, "G0", "sixteenth", 240), ("b", 0, "B7", "whole", 30), (None, 0, "C4", "half", 400), ("s", 0, "rest", None, None), ("s", 1, "Bb3", "odd", 120)]
+    df = spark.createDataFrame(rows, "song string, pos long, pitch string, duration string, tempo_bpm int")
+    hz = lambda steps: 440.0 * 2 ** (steps / 12)
+    want = {
+        "a": _by_hand([(0.0, 11025), (440.0, 5512), (hz(-50), 2756), (hz(28), 14700)]),
+        "b": _by_hand([(hz(38), 352800)]), None: _by_hand([(hz(-9), 13230)]), "s": _by_hand([(0.0, 22050), (0.0, 22050)]),
+    }
+    pieces = notes.wave_pieces(df).orderBy("song", F.asc_nulls_first("pos")).collect()
+    got = {song: b"".join(bytes(r.piece) for r in pieces if r.song == song) for song in want}
+    assert {s: len(w) for s, w in got.items()} == {s: len(w) for s, w in want.items()} and got == want
+    few = df.filter("song = 'a'")
+    assert [bytes(r.wav) for r in notes.wave_files(notes.normalised(notes.note_samples(few))).collect()] == [want["a"]]
+    rows_of = notes.note_samples(few).groupBy("song", "pos").agg(F.count("*").alias("n"), F.max(F.abs("sample")).alias("peak"))
+    assert sorted(map(tuple, notes.note_pieces(few).drop("pcm").collect())) == sorted(map(tuple, rows_of.collect()))
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"url": "u", "default_tasks": {"z": true, "a": "x"}}')
     (tmp_path / "b.json").write_text("[1]")
