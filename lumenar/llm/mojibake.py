@@ -7,10 +7,13 @@ original is put in its place. Words no clean text holds are still restored where
 sequences outside ASCII is the garbled form of an attested sequence (only for UTF-8 read as a
 single-byte encoding, where such a sequence has at least two characters).
 
+How well a word is attested is the number of distinct texts that hold it, so that copies of one
+garbled text can't outvote its original; rows decide only where the texts leave it open.
+
 All encodings here keep ASCII, so garbling never crosses an ASCII character: words are cut there.
 
 Defined results: null and empty texts are never hits and are returned as they are; repeated rows
-are judged one by one; a word that is as frequent garbled as clean is left alone unless it was
+are judged one by one; a word that is as frequent garbled as clean, in texts and in rows, is left alone unless it was
 UTF-8, which only reads one way; U+FFFD is restored to the best attested word that fits.
 """
 
@@ -95,16 +98,16 @@ def _cases(word: str) -> set[str]:
 def _form_batches(utf8_only: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple[str, str, bool, float]] = []
-            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            rows: list[tuple[str, str, bool, float, float]] = []
+            for word, n, texts in zip(*[c.to_pylist() for c in batch.columns]):
                 for variant in {word} if utf8_only else _cases(word):
-                    weight = float(n) if variant == word else 0.5
+                    weight, rows_of = (float(texts), float(n)) if variant == word else (0.5, 0.5)
                     for form, one_way in garbled_forms(variant).items():
                         if one_way and len(form) > 1 or not utf8_only:
-                            rows.append((form, variant, one_way, weight))
+                            rows.append((form, variant, one_way, weight, rows_of))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.bool_(), pa.float64()))],
-                names=["form", "original", "one_way", "weight"],
+                [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.bool_(), pa.float64(), pa.float64()))],
+                names=["form", "original", "one_way", "weight", "rows"],
             )
 
     return run
@@ -112,24 +115,29 @@ def _form_batches(utf8_only: bool):
 
 def _best_originals(words: DataFrame, utf8_only: bool) -> DataFrame:
     """``form, original`` for every corpus word (or sequence) that is a garbled form of a better attested one."""
-    forms = words.mapInArrow(_form_batches(utf8_only), "form string, original string, one_way boolean, weight double")
-    seen = words.select(F.col("word").alias("form"), F.col("n").alias("n_form"))
-    fits = F.when(F.col("one_way"), F.lit(True) if not utf8_only else F.col("weight") > F.col("n_form")).otherwise(F.col("weight") >= MIN_RATIO * F.col("n_form"))
-    best = F.max(F.struct("weight", "one_way", F.col("original").rlike(r"\p{L}").alias("letters"), "original")).alias("best")
+    forms = words.select("word", "n", "n_texts").mapInArrow(_form_batches(utf8_only), "form string, original string, one_way boolean, weight double, rows double")
+    seen = words.select(F.col("word").alias("form"), F.col("n").alias("n_form"), F.col("n_texts").alias("texts_form"))
+    attested = (F.col("weight") > F.col("texts_form")) | (F.col("rows") > F.col("n_form"))
+    by_texts, against = F.col("weight") >= MIN_RATIO * F.col("texts_form"), F.col("texts_form") >= MIN_RATIO * F.col("weight")
+    fits = F.when(F.col("one_way"), F.lit(True) if not utf8_only else attested).otherwise(by_texts | (~against & (F.col("rows") >= MIN_RATIO * F.col("n_form"))))
+    sure = (F.col("one_way") & (F.col("weight") >= 1)).alias("sure")
+    best = F.max(F.struct(sure, "weight", "rows", "one_way", F.col("original").rlike(r"\p{L}").alias("letters"), "original")).alias("best")
     return forms.join(seen, "form").filter(fits).groupBy("form").agg(best).select("form", F.col("best.original").alias("original"))
 
 
 def corpus_words(documents: DataFrame, text: str = "text") -> DataFrame:
-    """``word, n``: in how many rows each word with a character outside ASCII occurs."""
-    words = F.explode(F.array_distinct(F.regexp_extract_all(F.col(f"`{text}`"), F.lit(WORD), F.lit(0)))).alias("word")
-    return documents.select(words).groupBy("word").agg(F.count("*").alias("n"))
+    """``word, n, n_texts``: in how many rows, and in how many distinct texts, each word with a character outside ASCII occurs."""
+    column = F.col(f"`{text}`")
+    words = F.explode(F.array_distinct(F.regexp_extract_all(column, F.lit(WORD), F.lit(0)))).alias("word")
+    by_text = documents.select(F.xxhash64(column).alias("of"), words).groupBy("word", "of").agg(F.count("*").alias("n"))
+    return by_text.groupBy("word").agg(F.sum("n").alias("n"), F.count("*").alias("n_texts"))
 
 
 def garbled_words(documents: DataFrame, text: str = "text") -> DataFrame:
     """``word, original`` for the garbled words of the corpus."""
     words = cut_lineage(corpus_words(documents, text))
     by_word = _best_originals(words, utf8_only=False).withColumnRenamed("form", "word")
-    runs = words.select(F.explode(F.regexp_extract_all("word", F.lit(RUN), F.lit(0))).alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n"))
+    runs = words.select(F.explode(F.regexp_extract_all("word", F.lit(RUN), F.lit(0))).alias("word"), "n", "n_texts").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_texts").alias("n_texts"))
     by_run = _best_originals(runs, utf8_only=True)
     # put the pieces of each word together again, with the restored sequences in place
     pieces = words.join(by_word, "word", "left_anti").select("word", F.posexplode(F.regexp_extract_all("word", F.lit(rf"[{_HIGH}]+|[0-9A-Za-z]+"), F.lit(0))).alias("at", "form"))

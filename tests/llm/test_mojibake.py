@@ -45,3 +45,11 @@ def test_forms():
 
 def test_a_single_sign_may_stand_for_itself(spark):
     assert garbled_documents(table(spark, ["vou à praia à noite"] * 9 + ["wait … for it"])).count() == 0
+
+
+def test_copies_of_a_garbled_text_do_not_outvote_it(spark):
+    clean = [f"{i}: a canção da estação não é só emoção" for i in range(8)]
+    bad = garble("garbled: a canção da estação não é só emoção", "cp1252", "mac_roman")
+    texts = clean + [bad] * 40
+    found = {r.doc_id: r.restored for r in restore_documents(table(spark, texts)).collect()}
+    assert found == {8 + i: "garbled: a canção da estação não é só emoção" for i in range(40)}
