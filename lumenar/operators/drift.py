@@ -317,20 +317,29 @@ def schema_changes(records: DataFrame) -> DataFrame:
 
 
 def _lineage(changes: list[dict]) -> list[tuple[int, str, str]]:
-    """(first file, path in it, first name) whenever a feed's renames change what a path stands for."""
+    """(first file, path in it, first name) whenever a feed's renames change what a path stands for.
+
+    A field added under a name that a renamed field still holds is called after its file too: ``a@5``.
+    """
     first: dict[str, str] = {}
     out: list[tuple[int, str, str]] = []
-    for c in sorted(changes, key=lambda c: (c["file_no"], c["change_kind"], c["field_path"])):
+    for c in sorted(changes, key=lambda c: (c["file_no"], c["change_kind"] != "removed", c["change_kind"], c["field_path"])):
         path, new = c["field_path"], c["new_path"]
         if c["change_kind"] == "renamed":
             for at, name in [(p, n) for p, n in first.items() if p.startswith(f"{path}.")]:
                 first[f"{new}{at[len(path):]}"] = name
                 out.append((c["file_no"], f"{new}{at[len(path):]}", name))
-            first[new] = first.get(path, _renamed_prefix(first, path))
+                del first[at]
+            name = first.pop(path) if path in first else _renamed_prefix(first, path)
+            first[new] = name
             out.append((c["file_no"], new, first[new]))
+        elif c["change_kind"] == "removed":
+            for at in [p for p in first if p == path or p.startswith(f"{path}.")]:
+                del first[at]
         elif c["change_kind"] == "added":
-            first[path] = path
-            out.append((c["file_no"], path, path))
+            taken = any(p != n and (n == path or n.startswith(f"{path}.") or path.startswith(f"{n}.")) for p, n in first.items())
+            first[path] = f"{path}@{c['file_no']}" if taken else path
+            out.append((c["file_no"], path, first[path]))
     return out
 
 
@@ -370,7 +379,7 @@ def compile_projections(changes: DataFrame) -> DataFrame:
 
 
 def project_record(payload: str | None, names: dict[str, str]) -> dict[str, str] | None:
-    """Scalar and array fields of a record under their first names, as text."""
+    """Scalar and array fields of a record under their first names, as text; of two with one name the later keeps its path too."""
     fields = fields_of(payload)
     if fields is None:
         return None
@@ -378,6 +387,7 @@ def project_record(payload: str | None, names: dict[str, str]) -> dict[str, str]
     for path, value in fields.items():
         if not isinstance(value, dict):
             name = names.get(path) or _renamed_prefix(names, path)
+            name = f"{name}@{path}" if name in out else name
             out.setdefault(name, value if isinstance(value, str) else _value_text(value))
     return out
 

@@ -66,3 +66,11 @@ def test_projection_of_odd_records():
     assert project_record("{}", {}) == {}
     assert project_record('{"a": [1, {"b": null}]}', {}) == {"a": "[1, {}]"}
     assert project_record('{"x": {"b": 1}, "y": null}', {"x": "o"}) == {"o.b": "1"}
+
+
+def test_a_name_that_is_taken_loses_no_value(spark):
+    files = {1: [{"id": 1, "a": "x"}], 2: [{"id": 1, "b": "x"}], 3: [{"id": 1, "a": "new", "b": "x"}]}
+    records = feed(spark, files)
+    found = {r.file_no: r["values"] for r in steady_table(records, schema_changes(records)).collect()}
+    assert found == {1: {"id": "1", "a": "x"}, 2: {"id": "1", "a": "x"}, 3: {"id": "1", "a@3": "new", "a": "x"}}
+    assert project_record('{"a": 1, "b": 2}', {"b": "a"}) == {"a": "1", "a@b": "2"}
