@@ -18,6 +18,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,10 +41,12 @@ LOOKALIKES = {
 #: Compatibility decompositions that only change width, style or breaking.
 _PLAIN_TAGS = ("<wide>", "<narrow>", "<font>", "<noBreak>", "<compat>")
 _JOINED = "[☀-➿\U0001f000-\U0001faff]️?‍(?=[☀-➿\U0001f000-\U0001faff])"
+#: Flags of regions are drawn from tag characters, which are invisible elsewhere.
+_FLAG = "\U0001f3f4[\U000e0020-\U000e007e]+\U000e007f"
 
 
 def _invisible(char: str) -> bool:
-    return (unicodedata.category(char) == "Cf" and char not in "؀؁؂؃۝܏") or "︀" <= char <= "️" or char == "͏"
+    return (unicodedata.category(char) == "Cf" and char not in "؀؁؂؃۝܏") or "︀" <= char <= "️" or char == "͏" or "\U000e0100" <= char <= "\U000e01ef"
 
 
 def _plain(char: str) -> str:
@@ -89,7 +92,7 @@ def compile_transducer() -> tuple[re.Pattern, dict[str, str]]:
     """Pattern of clusters that may change, and the precomputed outputs; conflicts raise ValueError."""
     outputs: dict[str, str] = _Clusters()
     changed, following = [], []
-    for code in range(128, 0x20000):
+    for code in chain(range(128, 0x20000), range(0xE0000, 0xE01F0)):
         char = chr(code)
         category = unicodedata.category(char)
         if category in ("Cn", "Cs", "Co") or 0x3400 <= code < 0xA000 or 0xAC00 <= code < 0xD7A4:
@@ -105,12 +108,13 @@ def compile_transducer() -> tuple[re.Pattern, dict[str, str]]:
         if canonical_cluster(out) != out:
             raise ValueError(f"conflict: {char!r} gives {out!r}, which gives {canonical_cluster(out)!r}")
     marks = _ranges(following)
-    pattern = re.compile(f"({_JOINED})|[\\s\\S][{marks}]+|[{marks}{_ranges(changed)}]")
+    pattern = re.compile(f"({_FLAG}|{_JOINED})|[\\s\\S][{marks}]+|[{marks}{_ranges(changed)}]")
     return pattern, outputs
 
 
 #: A stretch in which clusters may change, with the character its first marks belong to.
-_STRETCH = re.compile("[\x00-\x9f\xa1-\xac\xae-\xff]?[\xa0\xad\u0100-\U0010ffff]+")
+_LATIN = [c for c in range(128, 256) if canonical_cluster(chr(c)) != chr(c)]
+_STRETCH = re.compile(f"[^{_ranges(_LATIN)}\u0100-\U0010ffff]?[{_ranges(_LATIN)}\u0100-\U0010ffff]+")
 
 
 class _Stretches(dict):

@@ -67,3 +67,10 @@ def test_pairs_of_posts(spark):
 def test_column(spark):
     df = spark.createDataFrame([(1, "café", None)], "id int, a string, b string")
     assert [tuple(r) for r in canonical_column(df, ["a", "b"]).collect()] == [(1, "café", None, "café", None)]
+
+
+def test_micro_sign_and_far_invisible_characters():
+    assert canonical("5 µm") == canonical("5 µ\u200bm") == canonical("5 μm") == "5 μm"
+    assert canonical("a\U000e0100b\U000e0041\U000e01efc") == "abc"
+    england, scotland = ("\U0001f3f4" + "".join(chr(0xE0000 + ord(c)) for c in name) + "\U000e007f" for name in ("gbeng", "gbsct"))
+    assert canonical(england) == england and canonical(scotland) == scotland
