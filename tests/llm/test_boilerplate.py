@@ -1,6 +1,9 @@
 from datetime import datetime
 
-from lumenar.llm.boilerplate import content_flags, content_lines, main_text, page_lines
+import pytest
+
+from lumenar.llm import boilerplate
+from lumenar.llm.boilerplate import aligned, content_lines, main_text, page_lines, page_regions
 
 MENU = "<nav><ul>" + "".join(f"<li><a>{x}</a></li>" for x in ("Home", "News", "About")) + "</ul></nav>"
 TAIL = "<footer><p>All rights reserved</p><span>© 2024</span></footer>"
@@ -16,8 +19,10 @@ def article(title, n=3, extra=""):
 
 
 def kept(html):
+    """Content of a page that no other page votes on."""
     events = page_lines(html)
-    return [x[0] for x, f in zip(events.lines, content_flags(events)) if f]
+    threshold, _, found = page_regions(events)
+    return [events.lines[k][0] for c in found if c.won and c.peak > boilerplate.REACH * threshold for k in c.lines]
 
 
 def test_article_only():
@@ -26,9 +31,16 @@ def test_article_only():
     assert kept(html) == ["Title", *[f"{LONG} Title {i}" for i in range(3)], "One point"]
 
 
-def test_short_article_beside_long_sidebar():
-    side = "<section>" + "".join(f"<b>Ana</b><p>{LONG}</p>" for _ in range(5)) + "</section>"
-    assert kept(page(article("Short", 1) + side)) == ["Short", f"{LONG} Short 0"]
+def test_headline_in_the_page_header():
+    """The site's name as the headline of its header doesn't make the header the article."""
+    head = "<header><h1>The River Archive</h1><p>Voices, letters and films</p></header>"
+    text = "".join(f"<p>{LONG} {i}</p>" for i in range(5))
+    assert kept(page(f"{head}<div>{text}</div>")) == [f"{LONG} {i}" for i in range(5)]
+
+
+@pytest.mark.parametrize("n", [1, 2, 4])
+def test_no_headline_but_running_text(n):
+    assert kept(page("<div>" + "".join(f"<p>{LONG} {i}</p>" for i in range(n)) + "</div>")) == [f"{LONG} {i}" for i in range(n)]
 
 
 def test_pages_without_content():
@@ -37,15 +49,55 @@ def test_pages_without_content():
         assert kept(html) == []
 
 
-def test_no_headline_but_running_text():
-    assert kept(page("<div>" + "".join(f"<p>{LONG} {i}</p>" for i in range(4)) + "</div>")) == [f"{LONG} {i}" for i in range(4)]
-
-
 def test_deep_and_long_pages():
     assert kept("<div>" * 3000 + f"<p>{LONG}</p>" * 3) == [LONG] * 3
     assert len(kept(page(article("Long", 3000)))) == 3001
 
 
+def _short_pages(n):
+    """Articles of one paragraph or six, two thirds of them beside four comments; every fifth page is an error page."""
+    rows, want = [], {}
+    for i in range(n):
+        side = "<section class='talk'>" + "".join(f"<b>Ana</b><p>{LONG} {k}</p>" for k in range(0 if i % 3 == 1 or i % 5 == 4 else 4)) + "</section>"
+        body = "<div class='x'><p>Page not found</p><p>The address has changed.</p></div>" if i % 5 == 4 else article(f"Story {i}", 1 if i % 3 == 0 else 6)
+        html = page(body + side)
+        lines = [x[0] for x in page_lines(html).lines]
+        rows.append((i, datetime(2024, 1, 1), "b.example", html, "\n".join(lines)))
+        want[i] = [k for k, x in enumerate(lines) if f"Story {i}" in x]
+    return rows, want
+
+
+SCHEMA = "page_id bigint, ingested_at timestamp, site string, raw_html string, plain_text string"
+
+
+def test_short_articles_by_the_votes_of_their_site(spark):
+    rows, want = _short_pages(60)
+    found = {r.page_id: list(r.line_nos) for r in content_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found == want
+
+
+@pytest.mark.parametrize("scale", [0.0, 3.0])
+def test_the_threshold_decides(spark, monkeypatch, scale):
+    """Without a threshold error pages have content; with one that no line reaches nothing has."""
+    rows, want = _short_pages(60)
+    pages = [page_lines(r[3]) for r in rows]
+    before = [page_regions(x) for x in pages]
+    found = boilerplate._two_means
+    monkeypatch.setattr(boilerplate, "_two_means", lambda v: scale * found(v))
+    after = [page_regions(x) for x in pages]
+    reached = lambda x: [c.lines for c in x[2] if c.won and c.peak > boilerplate.REACH * x[0]]
+    assert [c.mass for x in before for c in x[2]] != [c.mass for x in after for c in x[2]]
+    assert all(bool(c.won) <= bool(c.mass) for x in after for c in x[2])
+    assert scale == 0.0 or not any(reached(x) for x in after) and any(reached(x) for x in before)
+
+
+def test_alignment_with_a_long_menu_missing_from_the_text():
+    menu, body = [f"Menu {i}" for i in range(60)], [f"{LONG} {i}" for i in range(7)]
+    assert aligned(menu + body, body) == {60 + i: i for i in range(7)}
+    assert aligned(body, ["x", *body[:3], "", "y  z", *body[3:]]) == {0: 1, 1: 2, 2: 3, 3: 6, 4: 7, 5: 8, 6: 9}
+    assert aligned(["a", "b", "a", "c"], ["a", "c", "a"]) in ({0: 0, 2: 2}, {0: 0, 3: 1}) and aligned([], ["a"]) == aligned(["a"], []) == {}
+
+
 def test_operator(spark):
     at = lambda d: datetime(2024, 1, d)
     text = lambda h: "\n".join(x[0] for x in page_lines(h).lines)
@@ -57,6 +109,9 @@ def test_operator(spark):
     rows += [(104, at(1), "a.example", page(article("Old")), text(page(article("Old"))), "k"), (104, at(2), "a.example", page(article("New", 1)), text(page(article("New", 1))), "k")]
     df = spark.createDataFrame(rows, "page_id bigint, ingested_at timestamp, site string, raw_html string, plain_text string, flags string")
     found = {r.page_id: list(r.line_nos) for r in content_lines(df).collect()}
+    rows_without = [(200 + i, at(1), "a.example", page("<ul>" + "".join(f"<li><a>Link {k}</a></li>" for k in range(60)) + "</ul>" + article(f"Cut {i}", 3)), "\n".join(f"{LONG} Cut {i} {k}" for k in range(3)), "k") for i in range(3)]
+    cut = content_lines(spark.createDataFrame(rows + rows_without, df.schema)).filter("page_id >= 200").collect()
+    assert [list(r.line_nos) for r in cut] == [[0, 1, 2]] * 3
     assert 100 not in found and 101 not in found and found[102] == [] and found[103] == []
     for i in range(40):
         assert found[i] == [3, *range(5, 7 + i % 3)] or i % 8 == 0 and set(found[i]) >= set(range(5, 7 + i % 3)), (i, found[i])
