@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 # Host marks in order of test, and the class of each.
 HOST_CLASSES = (
-    ("facebook", "facebook"), ("instagram", "instagram"), ("tiktok", "instagram"), ("youtube", "youtube"), ("youtu.be", "youtube"),
-    ("googleusercontent", "google_drive"), ("google", "google_drive"),
+    ("facebook.com", "facebook"), ("instagram.com", "instagram"), ("tiktok.com", "instagram"), ("youtube.com", "youtube"), ("youtu.be", "youtube"),
+    ("google.com", "google_drive"), ("googleusercontent.com", "google_drive"),
 )
 
 

@@ -103,13 +103,13 @@ def _texts(node: _Node) -> list[str]:
 
 
 def _marked(node: _Node) -> str:
-    """Texts joined by blanks; an emphasised element adds its whole text between stars before its own texts."""
+    """Texts joined by blanks; an emphasised element adds its stripped texts, run together between stars, before its own texts."""
     out = []
     for part in _walk(node):
         if isinstance(part, str):
             out.append(part.strip())
         elif part.tag in ("em", "i"):
-            out.append("*" + "".join(p for p in _walk(part) if isinstance(p, str)).strip() + "*")
+            out.append("*" + "".join(p.strip() for p in _walk(part) if isinstance(p, str)) + "*")
     return " ".join(out)
 
 

@@ -95,11 +95,11 @@ def recognised_chunks(media: DataFrame, path: str, duration: str, make: Callable
 
 
 def align_to_segments(sentences: list[str], segments: list[tuple[float | None, float | None, str]]) -> list[tuple[str, float | None, float | None]]:
-    """Each sentence with the start of the first and the end of the last segment it uses up.
+    """Each sentence with the first start that is not null, and the last end, of the segments it uses up.
 
-    One cursor runs through the segments; a sentence takes whole segments until their stripped
-    texts, a blank after each, are as long as itself. Times are rounded to hundredths; a time of 0
-    or none is null, as for sentences left over when the segments are used up.
+    One cursor runs through the segments; a sentence takes whole segments, empty ones too, until
+    their stripped texts, a blank after each, are as long as itself. Times are rounded to hundredths;
+    a time of 0 or none is null, as for sentences left over when the segments are used up.
     """
     at, out = 0, []
     clean = lambda x: round(x, 2) if x else None
@@ -109,7 +109,7 @@ def align_to_segments(sentences: list[str], segments: list[tuple[float | None, f
             have += len(segments[at][2].strip()) + 1
             at += 1
         used = segments[first:at]
-        out.append((sentence, clean(used[0][0]) if used else None, clean(used[-1][1]) if used else None))
+        out.append((sentence, clean(next((s for s, *_ in used if s is not None), None)), clean(used[-1][1]) if used else None))
     return out
 
 
@@ -117,9 +117,9 @@ def timed_sentences(segments: DataFrame, media: str = "media_id", order: str = "
     """``media, sent_idx, sentence, start_s, end_s`` of a medium's joined text.
 
     The cursor depends on all earlier sentences, so one medium is one row: its segments, with null
-    and empty texts left out and repeated rows once.
+    texts left out and repeated rows once. Empty segments are used up like others.
     """
-    clean = segments.select(media, F.col(order).alias("o"), F.col(start).alias("s"), F.col(end).alias("e"), strip(F.col(text)).alias("t")).filter("t <> ''")
+    clean = segments.select(media, F.col(order).alias("o"), F.col(start).alias("s"), F.col(end).alias("e"), strip(F.col(text)).alias("t")).filter("t is not null")
     one = clean.groupBy(media, "o").agg(F.min(F.struct("s", "e", "t")).alias("x"))
     grouped = one.groupBy(media).agg(F.sort_array(F.collect_list(F.struct("o", "x"))).alias("segments"))
 

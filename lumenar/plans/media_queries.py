@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenar.functions import naming, text, urls
@@ -35,9 +35,25 @@ def _strip_sql(x: str) -> str:
     return f"regexp_replace({x}, '^{_WS}+|{_WS}+$', '', 'g')"
 
 
+def _latest(df: DataFrame, key: str, order: str = "ingested_at", **columns: Column) -> DataFrame:
+    """One row per key with ``columns`` of its latest delivery, the greatest of deliveries at one time.
+
+    ``columns`` are worked out first, so what meets per key are results and not the rows they come from.
+    """
+    made = df.select(key, F.col(order).alias("__lumenar_at"), *[c.alias(n) for n, c in columns.items()])
+    return made.groupBy(key).agg(F.max(F.struct("__lumenar_at", *columns)).alias("last")).select(key, *[F.col(f"last.{n}").alias(n) for n in columns])
+
+
+def _latest_sql(table: str, key: str, where: str = "", order: str = "ingested_at", **columns: str) -> str:
+    names = list(columns)
+    inner = f"SELECT {key}, {order} AS at_, {', '.join(f'{e} AS {n}' for n, e in columns.items())} FROM {table} {where}"
+    return f"(SELECT {key}, {', '.join(names)} FROM ({inner}) QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY at_ DESC NULLS LAST, {', '.join(f'{n} DESC NULLS LAST' for n in names)}) = 1)"
+
+
 # ---------------------------------------------------------------- addresses
 
-_URL_CASE = """CASE input_id % 9
+#: The tables hold addresses of one host, so most rows get a made-up address of the hosts that matter.
+_URL_CASE = """CASE input_id % 12
  WHEN 0 THEN 'https://www.facebook.com/watch/?v=' || input_id || '&mibextid=x'
  WHEN 1 THEN 'https://m.facebook.com/share/v/' || input_id || 'Ab/?__tn__=R'
  WHEN 2 THEN 'https://www.instagram.com/reel/C' || input_id || '_x/?utm=1'
@@ -46,19 +62,22 @@ _URL_CASE = """CASE input_id % 9
  WHEN 5 THEN 'https://drive.google.com/file/d/AbCdEf-' || input_id || '_zyxwv/view'
  WHEN 6 THEN 'https://drive.google.com/open?id=short'
  WHEN 7 THEN 'HTTPS://www.Example.org:8080/a b?v=1%20' || input_id
+ WHEN 8 THEN 'https://maps.google.de/maps?id=' || input_id
+ WHEN 9 THEN 'https://facebook.org/v/' || input_id
+ WHEN 10 THEN 'https://lh3.GoogleUserContent.com/d/' || input_id
  ELSE url END"""
-_URLS = f"(SELECT DISTINCT input_id, {_URL_CASE} AS url FROM video_inputs)"
+_URLS = _latest_sql("video_inputs", "input_id", url=_URL_CASE)
 _AUTHORITY = r"lower(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1))"
 _PATH = r"regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1)"
 _QUERY = r"regexp_extract(url, '^[^?#]*\?([^#]*)', 1)"
 _HOST = (
-    f"CASE WHEN url IS NULL THEN NULL WHEN contains({_AUTHORITY}, 'facebook') THEN 'facebook' WHEN contains({_AUTHORITY}, 'instagram') OR contains({_AUTHORITY}, 'tiktok') THEN 'instagram' "
-    f"WHEN contains({_AUTHORITY}, 'youtube') OR contains({_AUTHORITY}, 'youtu.be') THEN 'youtube' WHEN contains({_AUTHORITY}, 'google') THEN 'google_drive' ELSE 'unknown' END"
+    f"CASE WHEN url IS NULL THEN NULL WHEN contains({_AUTHORITY}, 'facebook.com') THEN 'facebook' WHEN contains({_AUTHORITY}, 'instagram.com') OR contains({_AUTHORITY}, 'tiktok.com') THEN 'instagram' "
+    f"WHEN contains({_AUTHORITY}, 'youtube.com') OR contains({_AUTHORITY}, 'youtu.be') THEN 'youtube' WHEN contains({_AUTHORITY}, 'google.com') OR contains({_AUTHORITY}, 'googleusercontent.com') THEN 'google_drive' ELSE 'unknown' END"
 )
 
 
 def _urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "video_inputs").selectExpr("input_id", f"{_URL_CASE} AS url").distinct()
+    return _latest(read_table(spark, sf_dir, "video_inputs"), "input_id", url=F.expr(_URL_CASE))
 
 
 @query(
@@ -95,41 +114,52 @@ def url_drive_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SLUG = "trim(regexp_replace(replace(split_part(string_split(url, '//')[-1], '/', 1), 'www.', ''), '[^A-Za-z0-9_]+', '-', 'g'), '-')"
 
 
-@query(f"SELECT DISTINCT page_id, {_SLUG} AS slug FROM page_captures")
+@query(f"SELECT * FROM {_latest_sql('page_captures', 'page_id', slug=_SLUG)}")
 def url_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "page_captures").select("page_id", urls.slug(F.col("url")).alias("slug")).distinct()
+    return _latest(read_table(spark, sf_dir, "page_captures"), "page_id", slug=urls.slug(F.col("url")))
 
 
 # ---------------------------------------------------------------- metadata and names
 
-_INFO = "(SELECT DISTINCT info_id, CASE WHEN json_valid(info_dict) THEN info_dict END AS d FROM video_info)"
+_INFO = "(SELECT info_id, ingested_at, CASE WHEN json_valid(info_dict) THEN info_dict END AS d FROM video_info)"
+
+
+# Kept fields and the keys they are read from, as the operator must have them.
+_MASK = {
+    "video_title": ("title",), "video_date": ("upload_date",), "uploader": ("uploader", "uploader_id"), "file_path": ("file_path",),
+    "duration": ("duration",), "width": ("width",), "height": ("height",), "ext": ("ext",), "resolution": ("resolution",), "fps": ("fps",),
+    "channels": ("channels",), "filesize": ("filesize",), "tbr": ("tbr",), "protocol": ("protocol",), "vcodec": ("vcodec",), "vbr": ("vbr",),
+    "acodec": ("acodec",), "abr": ("abr",), "asr": ("asr",),
+}
 
 
 def _masked_sql() -> str:
-    columns = []
-    for name, sources in naming.METADATA_FIELDS.items():
+    columns = {}
+    for name, sources in _MASK.items():
         value = "NULL"
         for key in reversed(sources):
             value = f"CASE WHEN list_contains(json_keys(d), '{key}') THEN json_extract_string(d, '$.{key}') ELSE {value} END"
-        columns.append(f"{f'replace({value}, chr(32), chr(95))' if name == 'video_title' else value} AS {name}")
-    return f"SELECT info_id, {', '.join(columns)} FROM {_INFO}"
+        columns[name] = f"replace({value}, chr(32), chr(95))" if name == "video_title" else value
+    return f"SELECT * FROM {_latest_sql(_INFO, 'info_id', **columns)}"
 
 
 @query(_masked_sql())
 def meta_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    info = read_table(spark, sf_dir, "video_info").select("info_id", "info_dict").distinct()
-    return naming.masked_metadata(info, "info_dict").drop("info_dict")
+    info = read_table(spark, sf_dir, "video_info").select("info_id", "ingested_at", "info_dict")
+    masked = naming.masked_metadata(info, "info_dict")
+    return _latest(masked, "info_id", **{n: F.col(n) for n in naming.METADATA_FIELDS})
 
 
-_FILES = (
-    "(SELECT DISTINCT info_id, replace(replace(coalesce(nullif(" + _strip_sql("uploader") + ", ''), 'unknown_uploader'), ' ', '_'), '/', '_') || '_' || "
-    "coalesce(nullif(" + _strip_sql("video_date") + ", ''), 'unknown_date') || '.' || coalesce(ext, 'mp4') AS filename FROM video_info)"
-)
+_FILES = _latest_sql(
+    "video_info", "info_id",
+    filename="replace(replace(coalesce(nullif(" + _strip_sql("uploader") + ", ''), 'unknown_uploader'), ' ', '_'), '/', '_') || '_' || "
+    "coalesce(nullif(" + _strip_sql("video_date") + ", ''), 'unknown_date') || '.' || coalesce(ext, 'mp4')",
+)
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = naming.original_filename(F.col("uploader"), F.col("video_date"), F.col("ext")).alias("filename")
-    return read_table(spark, sf_dir, "video_info").select("info_id", name).distinct()
+    name = naming.original_filename(F.col("uploader"), F.col("video_date"), F.col("ext"))
+    return _latest(read_table(spark, sf_dir, "video_info"), "info_id", filename=name)
 
 
 @query(f"SELECT info_id, filename FROM {_FILES}")
@@ -147,10 +177,10 @@ def meta_unique_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "SELECT info_id, '.' || ext AS ext, CASE ext WHEN 'webm' THEN 'libvpx' WHEN 'ogv' THEN 'libtheora' ELSE 'libx264' END AS video_codec, "
-    "CASE WHEN ext IN ('webm', 'ogv') THEN 'libvorbis' ELSE 'aac' END AS audio_codec FROM (SELECT DISTINCT info_id, ext FROM video_info)"
+    f"CASE WHEN ext IN ('webm', 'ogv') THEN 'libvorbis' ELSE 'aac' END AS audio_codec FROM {_latest_sql('video_info', 'info_id', ext='ext')}"
 )
 def meta_codecs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    info = read_table(spark, sf_dir, "video_info").select("info_id", F.concat(F.lit("."), "ext").alias("ext")).distinct()
+    info = _latest(read_table(spark, sf_dir, "video_info"), "info_id", ext=F.concat(F.lit("."), "ext"))
     return naming.with_codecs(info, "ext")
 
 
@@ -168,22 +198,22 @@ def meta_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TASKS = ("perform_download", "apply_watermark", "make_clips", "extract_audio", "generate_captions", "post_process")
 
 
-@query(
-    "SELECT DISTINCT input_id, coalesce(regexp_matches(url, '^https?://') AND title IS NOT NULL AND date_raw IS NOT NULL AND "
-    + " AND ".join(f"tasks.{t} IS NOT NULL" for t in _TASKS)
-    + ", false) AS valid FROM video_inputs"
-)
+_VALID = "coalesce(regexp_matches(url, '^https?://') AND title IS NOT NULL AND date_raw IS NOT NULL AND " + " AND ".join(f"tasks.{t} IS NOT NULL" for t in _TASKS) + ", false)"
+
+
+@query(f"SELECT * FROM {_latest_sql('video_inputs', 'input_id', valid=_VALID)}")
 def meta_required_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     ok = naming.required_fields_ok(F.col("url"), F.col("title"), F.col("date_raw"), [F.col(f"tasks.{t}") for t in _TASKS])
-    return read_table(spark, sf_dir, "video_inputs").select("input_id", ok.alias("valid")).distinct()
+    return _latest(read_table(spark, sf_dir, "video_inputs"), "input_id", valid=ok)
 
 
-@query(
-    "SELECT DISTINCT run_id, 'out/' || media_id || '_' || strftime(run_at AT TIME ZONE 'UTC', '%Y%m%d_%H%M%S') || '/clips_' || strftime(run_at AT TIME ZONE 'UTC', '%H%M%S') AS folder FROM transcribe_runs"
-)
+_FOLDER = "'out/' || media_id || '_' || strftime(run_at AT TIME ZONE 'UTC', '%Y%m%d_%H%M%S') || '/clips_' || strftime(run_at AT TIME ZONE 'UTC', '%H%M%S')"
+
+
+@query(f"SELECT * FROM {_latest_sql('transcribe_runs', 'run_id', folder=_FOLDER)}")
 def meta_output_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = naming.output_directory(F.lit("out"), F.col("media_id"), F.col("run_at"), F.lit("clips"))
-    return read_table(spark, sf_dir, "transcribe_runs").select("run_id", folder.alias("folder")).distinct()
+    return _latest(read_table(spark, sf_dir, "transcribe_runs"), "run_id", folder=folder)
 
 
 @query(
@@ -196,18 +226,21 @@ def meta_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return laid.select("input_id", *[F.try_element_at("m", F.lit(k)).alias(k) for k in "abc"])
 
 
-@query("SELECT DISTINCT info_id, 'v/' || media_id || '.json' AS config_json FROM video_info WHERE media_id IS NOT NULL")
+_SIDECAR = "SELECT 'v/' || media_id || '.json' AS config_json, '{\"info_id\":' || info_id || ',\"original_filename\":\"v/' || media_id || '.mp4\"}' AS body FROM "
+
+
+@query(_SIDECAR + _latest_sql("video_info", "info_id", media_id="media_id") + " WHERE media_id IS NOT NULL")
 def meta_sidecar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    info = read_table(spark, sf_dir, "video_info").select("info_id", F.concat(F.lit("v/"), "media_id", F.lit(".mp4")).alias("original_filename")).distinct()
-    return sidecar_documents(info).select(F.get_json_object("body", "$.info_id").cast("bigint").alias("info_id"), "config_json")
+    return sidecar_documents(_latest(read_table(spark, sf_dir, "video_info"), "info_id", original_filename=F.concat(F.lit("v/"), "media_id", F.lit(".mp4"))))
 
 
 # ---------------------------------------------------------------- ledgers
 
+_TASK_ROWS = _latest_sql("video_inputs", "input_id", tasks="tasks")
 _LONG = (
-    "(SELECT DISTINCT input_id, k.pos, k.task, CASE k.task "
+    "(SELECT input_id, k.pos, k.task, CASE k.task "
     + " ".join(f"WHEN '{t}' THEN tasks.{t}" for t in _TASKS)
-    + " END AS flag FROM video_inputs CROSS JOIN (VALUES "
+    + f" END AS flag FROM {_TASK_ROWS} CROSS JOIN (VALUES "
     + ", ".join(f"({i}, '{t}')" for i, t in enumerate(_TASKS))
     + ") AS k(pos, task) WHERE tasks IS NOT NULL)"
 )
@@ -217,7 +250,7 @@ _DONE = "task = 'perform_download' AND input_id % 2 = 0"
 
 def _ledgers(spark: SparkSession, sf_dir: str, with_nulls: bool = True) -> DataFrame:
     tasks = F.to_json("tasks", {"ignoreNullFields": str(not with_nulls).lower()})
-    inputs = read_table(spark, sf_dir, "video_inputs").select("input_id", tasks.alias("t")).distinct()
+    inputs = _latest(read_table(spark, sf_dir, "video_inputs"), "input_id", t=tasks)
     return inputs.select("input_id", ledger.ledger_of(F.col("t")).alias("ledger"))
 
 
@@ -236,7 +269,7 @@ def ledger_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.entries(_ledgers(spark, sf_dir), "ledger").groupBy("task", "state").agg(F.count("*").alias("n"))
 
 
-@query("SELECT DISTINCT input_id, coalesce(tasks.make_clips, false) AS clips_due FROM video_inputs")
+@query(f"SELECT input_id, coalesce(tasks.make_clips, false) AS clips_due FROM {_TASK_ROWS}")
 def ledger_should_perform(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ledgers(spark, sf_dir).select("input_id", F.coalesce(ledger.should_perform(F.col("ledger"), "make_clips"), F.lit(False)).alias("clips_due"))
 
@@ -258,14 +291,14 @@ def ledger_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SELECT DISTINCT input_id, CASE WHEN tasks.perform_download AND input_id % 2 = 1 THEN 'perform_download' WHEN tasks.apply_watermark THEN 'apply_watermark' "
-    "WHEN tasks.generate_captions THEN 'generate_captions' WHEN tasks.post_process THEN 'post_process' END AS next_task FROM video_inputs"
+    "SELECT input_id, CASE WHEN tasks.perform_download AND input_id % 2 = 1 THEN 'perform_download' WHEN tasks.apply_watermark THEN 'apply_watermark' "
+    f"WHEN tasks.generate_captions THEN 'generate_captions' WHEN tasks.post_process THEN 'post_process' END AS next_task FROM {_TASK_ROWS}"
 )
 def ledger_next_task(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _upserted(spark, sf_dir).select("input_id", ledger.next_task(F.col("ledger")).alias("next_task"))
 
 
-_SCRIPT = "CASE task " + " ".join(f"WHEN '{t}' THEN '{s}'" for t, s in ledger.SCRIPTS.items()) + " END"
+_SCRIPT = "CASE task WHEN 'perform_download' THEN 'download' WHEN 'apply_watermark' THEN 'watermark' WHEN 'generate_captions' THEN 'captions' WHEN 'post_process' THEN 'screenshots' END"
 
 
 @query(
@@ -283,23 +316,24 @@ def ledger_find_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.first_by_url(docs).select("url", "path")
 
 
-@query("SELECT DISTINCT input_id, url FROM video_inputs WHERE url IS NULL OR url NOT IN (SELECT url FROM video_inputs WHERE input_id % 3 = 0 AND url IS NOT NULL)")
+@query(f"SELECT input_id, url FROM {_latest_sql('video_inputs', 'input_id', url='url')} WHERE url IS NULL OR url NOT IN (SELECT url FROM {_latest_sql('video_inputs', 'input_id', url='url')} WHERE input_id % 3 = 0 AND url IS NOT NULL)")
 def ledger_new_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    inputs = read_table(spark, sf_dir, "video_inputs").select("input_id", "url").distinct()
+    inputs = _latest(read_table(spark, sf_dir, "video_inputs"), "input_id", url=F.col("url"))
     return ledger.unknown_only(inputs, inputs.filter("input_id % 3 = 0"))
 
 
-@query(
-    "SELECT DISTINCT run_id, coalesce(nullif(article_url, ''), nullif(asr_model, ''), media_id) AS output FROM transcribe_runs"
-)
+_OUTPUT_OF = "coalesce(nullif(article_url, ''), nullif(asr_model, ''), media_id)"
+
+
+@query(f"SELECT * FROM {_latest_sql('transcribe_runs', 'run_id', output=_OUTPUT_OF)}")
 def ledger_task_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ledger.task_output(F.col("article_url"), F.col("asr_model"), F.col("media_id"))
-    return read_table(spark, sf_dir, "transcribe_runs").select("run_id", out.alias("output")).distinct()
+    return _latest(read_table(spark, sf_dir, "transcribe_runs"), "run_id", output=out)
 
 
 @query(
     "SELECT DISTINCT 'docs/' || input_id || '/a.json' AS json_path, CASE WHEN input_id % 2 = 0 THEN 'docs/' || input_id || '/w.mp4' ELSE '/abs/w' || input_id || '.mp4' END AS source_path, "
-    "'docs/' || input_id || '/distro/vault/' || CASE WHEN input_id % 2 = 0 THEN 'w.mp4' ELSE 'w' || input_id || '.mp4' END AS target_path FROM video_inputs WHERE tasks IS NOT NULL"
+    f"'docs/' || input_id || '/distro/vault/' || CASE WHEN input_id % 2 = 0 THEN 'w.mp4' ELSE 'w' || input_id || '.mp4' END AS target_path FROM {_TASK_ROWS} WHERE tasks IS NOT NULL"
 )
 def ledger_vault_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = F.when(F.col("input_id") % 2 == 0, "w.mp4").otherwise(F.concat(F.lit("/abs/w"), "input_id", F.lit(".mp4")))
@@ -307,16 +341,18 @@ def ledger_vault_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.vault_moves(docs.withColumn("ledger", ledger.with_output(F.col("ledger"), "add_watermark", made)), "ledger", "path")
 
 
-@query("SELECT DISTINCT info_id, CASE WHEN json_valid(info_dict) AND json_type(info_dict, '$.uploader') = 'VARCHAR' THEN json_extract_string(info_dict, '$.uploader') END AS output FROM video_info")
+_UPLOADER_TEXT = "CASE WHEN json_valid(info_dict) AND json_type(info_dict, '$.uploader') = 'VARCHAR' THEN json_extract_string(info_dict, '$.uploader') END"
+
+
+@query(f"SELECT * FROM {_latest_sql('video_info', 'info_id', output=_UPLOADER_TEXT)}")
 def ledger_existing_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    info = read_table(spark, sf_dir, "video_info").select("info_id", "info_dict").distinct()
-    return info.select("info_id", ledger.existing_output(F.try_parse_json("info_dict"), "uploader").alias("output"))
+    return _latest(read_table(spark, sf_dir, "video_info"), "info_id", output=ledger.existing_output(F.try_parse_json("info_dict"), "uploader"))
 
 
 @query()
 def ledger_merge_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The download chain as columns: name, sidecar, codec; what a step can't give is listed in ``errors``."""
-    info = read_table(spark, sf_dir, "video_info").select("info_id", "uploader", "video_date", "ext").distinct()
+    info = _latest(read_table(spark, sf_dir, "video_info"), "info_id", **{c: F.col(c) for c in ("uploader", "video_date", "ext")})
     steps = [
         ("original_filename", lambda: naming.original_filename(F.col("uploader"), F.col("video_date"), F.col("ext"))),
         ("watermarked", lambda: clips.watermark_target(F.col("original_filename"))),
@@ -327,7 +363,6 @@ def ledger_merge_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- pages and texts
 
-_PAGES = "(SELECT DISTINCT page_id, raw_html FROM page_captures WHERE raw_html IS NOT NULL)"
 _PARAGRAPHS = (
     r"list_filter(list_transform(regexp_extract_all(raw_html, '<p(?:\s[^>]*)?>(.*?)</p\s*>', 1, 'is'), lambda p: "
     + _strip_sql(r"replace(replace(replace(replace(regexp_replace(p, '<[^>]*>', '', 'gs'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')".replace('\\"', '"'))
@@ -336,28 +371,32 @@ _PARAGRAPHS = (
 _ARTICLE = f"coalesce(array_to_string({_PARAGRAPHS}, chr(10) || chr(10)), '')"
 
 
+def _articles_sql(name: str, made: str) -> str:
+    return f"SELECT * FROM {_latest_sql(f'(SELECT *, {_ARTICLE} AS a FROM page_captures WHERE raw_html IS NOT NULL)', 'page_id', **{name: made})}"
+
+
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "page_captures").filter("raw_html is not null").select("page_id", "raw_html").distinct()
+    return read_table(spark, sf_dir, "page_captures").filter("raw_html is not null").select("page_id", "ingested_at", "raw_html")
 
 
-@query(f"SELECT page_id, {_ARTICLE} AS article FROM {_PAGES}")
+@query(_articles_sql("article", "a"))
 def html_article(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pages(spark, sf_dir).select("page_id", html.article_text(F.col("raw_html")).alias("article"))
+    return _latest(_pages(spark, sf_dir), "page_id", article=html.article_text(F.col("raw_html")))
 
 
-@query(f"SELECT page_id, {_ARTICLE} AS article FROM {_PAGES}")
+@query(_articles_sql("article", "a"))
 def html_article_native(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pages(spark, sf_dir).select("page_id", html.article_text_native(F.col("raw_html")).alias("article"))
+    return _latest(_pages(spark, sf_dir), "page_id", article=html.article_text_native(F.col("raw_html")))
 
 
-@query(f"SELECT page_id, CASE WHEN length(a) > 1500 THEN left(a, 1500) || '...' ELSE a END AS preview FROM (SELECT page_id, {_ARTICLE} AS a FROM {_PAGES})")
+@query(_articles_sql("preview", "CASE WHEN length(a) > 1500 THEN left(a, 1500) || '...' ELSE a END"))
 def html_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pages(spark, sf_dir).select("page_id", text.preview(html.article_text_native(F.col("raw_html"))).alias("preview"))
+    return _latest(_pages(spark, sf_dir), "page_id", preview=text.preview(html.article_text_native(F.col("raw_html"))))
 
 
 @query()
 def html_editorial(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pages(spark, sf_dir).select("page_id", html.editorial_text(F.col("raw_html")).alias("e")).select("page_id", "e.plain", "e.marked")
+    return _latest(_pages(spark, sf_dir), "page_id", e=html.editorial_text(F.col("raw_html"))).select("page_id", "e.plain", "e.marked")
 
 
 @query(
@@ -369,12 +408,14 @@ def text_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.col("i").cast("bigint").alias("sent_idx"), "sentence")
 
 
-@query(
-    " UNION ALL ".join(f"SELECT post_id, '{lang}' AS lang, content.{lang} AS text FROM (SELECT DISTINCT post_id, content FROM posts) WHERE content.{lang} IS NOT NULL" for lang in ("spanish", "english", "portuguese"))
-)
+_LANGUAGES = ("spanish", "english", "portuguese")
+_CONTENTS = _latest_sql("posts", "post_id", **{x: f"content.{x}" for x in _LANGUAGES})
+
+
+@query(" UNION ALL ".join(f"SELECT post_id, '{x}' AS lang, {x} AS text FROM {_CONTENTS} WHERE {x} IS NOT NULL" for x in _LANGUAGES))
 def text_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    posts = read_table(spark, sf_dir, "posts").select("post_id", "content").distinct()
-    return transcript.unpivot_languages(posts, "content", ["spanish", "english", "portuguese"], ["post_id"])
+    posts = _latest(read_table(spark, sf_dir, "posts"), "post_id", **{x: F.col(f"content.{x}") for x in _LANGUAGES})
+    return transcript.unpivot_languages(posts.select("post_id", F.struct(*_LANGUAGES).alias("content")), "content", list(_LANGUAGES), ["post_id"])
 
 
 @query()
@@ -386,20 +427,21 @@ def text_source_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query()
-def text_media_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every two titles of one medium's records, in order of id."""
-    info = read_table(spark, sf_dir, "video_info").filter("media_id is not null").groupBy("info_id", "media_id").agg(F.max("video_title").alias("title"))
-    return transcript.pairwise_similarity(info, "info_id", "title", "media_id")
+def text_language_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every two texts of one post, by language."""
+    return transcript.pairwise_similarity(text_languages(spark, sf_dir), "lang", "text", "post_id")
 
 
 # ---------------------------------------------------------------- transcripts
 
-_SEGMENTS = "(SELECT DISTINCT media_id, seg_idx, start_s, end_s, text FROM asr_segments)"
+# segments carry no time of delivery: of several deliveries of a segment the greatest counts
+_SEGMENTS = "(SELECT media_id, seg_idx, start_s, end_s, text FROM asr_segments QUALIFY row_number() OVER (PARTITION BY media_id, seg_idx ORDER BY start_s DESC NULLS LAST, end_s DESC NULLS LAST, text DESC NULLS LAST) = 1)"
 _CLEAN = f"(SELECT * FROM (SELECT media_id, seg_idx, start_s, end_s, {_strip_sql('text')} AS t FROM {_SEGMENTS}) WHERE t <> '')"
 
 
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "asr_segments").select("media_id", "seg_idx", "start_s", "end_s", "text").distinct()
+    one = F.max(F.struct("start_s", "end_s", "text")).alias("s")
+    return read_table(spark, sf_dir, "asr_segments").groupBy("media_id", "seg_idx").agg(one).select("media_id", "seg_idx", "s.*")
 
 
 @query(f"SELECT media_id, string_agg(t, ' ' ORDER BY seg_idx, t) AS full_text FROM {_CLEAN} GROUP BY media_id")
@@ -423,12 +465,12 @@ def transcript_stitched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transcript.stitched(chunks)
 
 
-_GRID = "(SELECT info_id, d, unnest(generate_series(0, d - 1, 60)) AS chunk_start FROM (SELECT DISTINCT info_id, CAST(trunc(duration) AS BIGINT) AS d FROM video_info WHERE duration >= 1))"
+_GRID = "(SELECT info_id, d, unnest(generate_series(0, d - 1, 60)) AS chunk_start FROM (SELECT info_id, CAST(trunc(duration) AS BIGINT) AS d FROM " + _latest_sql("video_info", "info_id", duration="duration") + " WHERE duration >= 1))"
 
 
 @query(f"SELECT info_id, chunk_start, least(chunk_start + 60, d) AS chunk_end, chunk_start || '-' || least(chunk_start + 60, d) || 's' AS label FROM {_GRID}")
 def transcript_chunk_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    info = read_table(spark, sf_dir, "video_info").select("info_id", "duration").distinct()
+    info = _latest(read_table(spark, sf_dir, "video_info"), "info_id", duration=F.col("duration"))
     chunks = transcript.chunk_grid(info, "duration").drop("duration")
     return chunks.withColumn("label", transcript.chunk_label(F.col("chunk_start"), F.col("chunk_end")))
 
@@ -438,14 +480,27 @@ def transcript_chunk_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"CASE WHEN chunk_start % 120 = 0 THEN 'CACHED' WHEN info_id % 3 = 0 THEN 'FAILED' WHEN info_id % 3 = 1 THEN 'UNINTELLIGIBLE' ELSE 'DONE' END AS status FROM {_GRID}"
 )
 def transcript_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    info = read_table(spark, sf_dir, "video_info").select("info_id", "duration").distinct()
+    info = _latest(read_table(spark, sf_dir, "video_info"), "info_id", duration=F.col("duration"))
     chunks = transcript.chunk_grid(info, "duration").select("info_id", "chunk_start")
     cache = chunks.filter("chunk_start % 120 = 0").withColumn("chunk_text", F.lit("held"))
     recognise = F.when(F.col("info_id") % 3 == 1, "").when(F.col("info_id") % 3 == 2, "new")
     return transcript.reuse_transcripts(chunks, cache, ["info_id", "chunk_start"], recognise)
 
 
-@query()
+# each sentence uses up segments from where the one before it stopped
+_SENTENCES = (
+    f"WITH RECURSIVE g AS (SELECT media_id, list(start_s ORDER BY seg_idx) AS starts, list(end_s ORDER BY seg_idx) AS ends, list(length(t) + 1 ORDER BY seg_idx) AS sizes, string_agg(t, ' ' ORDER BY seg_idx) AS whole "
+    f"FROM (SELECT media_id, seg_idx, start_s, end_s, {_strip_sql('text')} AS t FROM {_SEGMENTS}) WHERE t IS NOT NULL GROUP BY media_id), "
+    f"c AS (SELECT media_id, starts, ends, list_transform(range(0, len(sizes) + 1), lambda i: coalesce(list_sum(sizes[1:i]), 0)) AS cum, "
+    f"list_filter(list_transform(string_split(regexp_replace({_strip_sql('whole')}, '([.!?]){_WS}+', '\\1' || chr(1), 'g'), chr(1)), lambda s: {_strip_sql('s')}), lambda s: s <> '') AS parts FROM g), "
+    "r AS (SELECT media_id, 0 AS k, CAST(0 AS BIGINT) AS at_, CAST(0 AS BIGINT) AS next_ FROM c UNION ALL "
+    "SELECT c.media_id, r.k + 1, r.next_, least(len(c.ends), r.next_ + 1 + len(list_filter(c.cum[r.next_ + 2:], lambda x: x - c.cum[r.next_ + 1] < length(c.parts[r.k + 1])))) FROM r JOIN c USING (media_id) WHERE r.k < len(c.parts)), "
+    "u AS (SELECT media_id, k - 1 AS sent_idx, parts[k] AS sentence, list_filter(starts[at_ + 1:next_], lambda x: x IS NOT NULL)[1] AS s, CASE WHEN next_ > at_ THEN ends[next_] END AS e FROM r JOIN c USING (media_id) WHERE k > 0) "
+    "SELECT media_id, CAST(sent_idx AS INT) AS sent_idx, sentence, CAST(printf('%.2f', nullif(s, 0)) AS DOUBLE) AS start_s, CAST(printf('%.2f', nullif(e, 0)) AS DOUBLE) AS end_s FROM u"
+)
+
+
+@query(_SENTENCES)
 def transcript_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transcript.timed_sentences(_segments(spark, sf_dir))
 
@@ -512,20 +567,22 @@ def _clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered.withColumns({"source": F.concat(F.lit("in/"), "media_id", F.lit(".webm")), "folder": F.concat(F.lit("out/"), "media_id")})
 
 
+_DRAWN = "CASE WHEN text <> '' THEN '-vf drawtext=text=''' || replace(replace(replace(text, chr(92), chr(92) || chr(92)), chr(39), chr(39) || chr(92) || chr(39) || chr(39)), ':', chr(92) || ':') || ''':x=10:y=10:fontsize=24:fontcolor=yellow ' ELSE '' END"
+
+
 @query(
-    f"SELECT media_id, clip_no, {_OUTPUT} AS output, CASE WHEN text <> '' THEN 16 ELSE 14 END AS n_args, "
-    "CASE WHEN text <> '' THEN 'drawtext=text=''' || replace(replace(replace(text, chr(92), chr(92) || chr(92)), chr(39), chr(39) || chr(92) || chr(39) || chr(39)), ':', chr(92) || ':') || ''':x=10:y=10:fontsize=24:fontcolor=yellow' END AS overlay "
-    f"FROM {_CLIP_ROWS}"
+    f"SELECT media_id, clip_no, {_OUTPUT} AS output, 'ffmpeg -i in/' || media_id || '.webm -ss ' || CAST(start_s AS VARCHAR) || ' -to ' || CAST(end_s AS VARCHAR) || "
+    f"' -c:v libvpx -c:a libvorbis -strict experimental ' || {_DRAWN} || {_OUTPUT} AS command FROM {_CLIP_ROWS}"
 )
 def clip_ffmpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = clips.ffmpeg_plan(_clips(spark, sf_dir))
-    size = F.size("argv")
-    return plan.select("media_id", "clip_no", "output", size.alias("n_args"), F.when(size == 16, F.get("argv", F.lit(14))).alias("overlay"))
+    return clips.ffmpeg_plan(_clips(spark, sf_dir)).select("media_id", "clip_no", "output", F.array_join("argv", " ").alias("command"))
 
 
-@query(f"SELECT media_id, clip_no, 'location=' || {_OUTPUT} AS sink FROM {_CLIP_ROWS}")
+@query(
+    f"SELECT media_id, clip_no, 'gst-launch-1.0 filesrc location=in/' || media_id || '.webm ! decodebin ! x264enc ! mp4mux ! filesink location=' || {_OUTPUT} AS command FROM {_CLIP_ROWS}"
+)
 def clip_gstreamer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clips.gstreamer_plan(_clips(spark, sf_dir)).select("media_id", "clip_no", F.element_at("argv", -1).alias("sink"))
+    return clips.gstreamer_plan(_clips(spark, sf_dir)).select("media_id", "clip_no", F.array_join("argv", " ").alias("command"))
 
 
 @query(
@@ -542,10 +599,13 @@ def clip_stitch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clips.stitch_plan(plan, "media_id", "clip_no").select("media_id", F.array_join("parts", " ").alias("parts"))
 
 
-@query(f"SELECT media_id, clip_no, 'in/' || media_id || '.wav' AS wav, CASE WHEN clip_no % 2 = 0 THEN 9 ELSE 7 END AS n_args FROM {_CLIP_ROWS}".replace("9 ELSE 7", "9 ELSE 7"))
+@query(
+    "SELECT media_id, clip_no, 'ffmpeg -i in/' || media_id || '.webm -ss ' || CAST(start_s AS VARCHAR) || CASE WHEN clip_no % 2 = 0 THEN ' -to ' || CAST(end_s AS VARCHAR) ELSE '' END || "
+    f"' -vn in/' || media_id || '.wav' AS command FROM {_CLIP_ROWS}"
+)
 def clip_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     some = _clips(spark, sf_dir).withColumn("end_s", F.when(F.col("clip_no") % 2 == 0, F.col("end_s")))
-    return clips.audio_plan(some).select("media_id", "clip_no", F.element_at("argv", -1).alias("wav"), F.size("argv").alias("n_args"))
+    return clips.audio_plan(some).select("media_id", "clip_no", F.array_join("argv", " ").alias("command"))
 
 
 @query(f"SELECT info_id, regexp_replace(filename, '\\.[^./]*$', '') || '_wm.mp4' AS target FROM {_FILES}")
@@ -564,16 +624,19 @@ def clip_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- notes
 
-_PITCH = "CASE event_id % 15 " + " ".join(f"WHEN {i} THEN '{n}' || (event_id % 8)" for i, n in enumerate(notes.SEMITONES)) + " WHEN 12 THEN 'rest' WHEN 13 THEN 'Bb3' END"
-_LENGTH = "CASE event_id % 7 " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(notes.BEATS)) + " WHEN 5 THEN 'odd' END"
+# Note names from C upwards, and the lengths, as the operators must have them.
+_NAMES = ("C", "C#", "D", "D#", "E", "F", "F#", "G", "G#", "A", "A#", "B")
+_BEATS = (("whole", 4.0), ("half", 2.0), ("quarter", 1.0), ("eighth", 0.5), ("sixteenth", 0.25))
+_PITCH = "CASE event_id % 15 " + " ".join(f"WHEN {i} THEN '{n}' || (event_id % 8)" for i, n in enumerate(_NAMES)) + " WHEN 12 THEN 'rest' WHEN 13 THEN 'Bb3' END"
+_LENGTH = "CASE event_id % 7 " + " ".join(f"WHEN {i} THEN '{n}'" for i, (n, _) in enumerate(_BEATS)) + " WHEN 5 THEN 'odd' END"
 _NOTES = f"(SELECT event_id, user_id AS song, {_PITCH} AS pitch, {_LENGTH} AS duration, 60 + event_id % 3 * 30 AS tempo_bpm FROM events)"
 _HZ = (
     "CASE WHEN pitch = 'rest' THEN 0.0 ELSE 440.0 * power(2.0, (CASE regexp_extract(pitch, '^([A-G]#?)[0-9]$', 1) "
-    + " ".join(f"WHEN '{n}' THEN {s}" for n, s in notes.SEMITONES.items())
+    + " ".join(f"WHEN '{n}' THEN {i}" for i, n in enumerate(_NAMES))
     + " END + (TRY_CAST(regexp_extract(pitch, '^[A-G]#?([0-9])$', 1) AS INT) + 1) * 12 - 69) / 12.0) END"
 )
-_BEAT = "CASE coalesce(duration, 'quarter') " + " ".join(f"WHEN '{n}' THEN {b}" for n, b in notes.BEATS.items()) + " ELSE 1.0 END"
-_RATE = notes.RATE
+_BEAT = "CASE coalesce(duration, 'quarter') " + " ".join(f"WHEN '{n}' THEN {b}" for n, b in _BEATS) + " ELSE 1.0 END"
+_RATE = 44100
 _N = f"CAST(trunc({_RATE} * 60.0 / tempo_bpm * {_BEAT}) AS BIGINT)"
 
 
@@ -608,7 +671,7 @@ def note_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return notes.normalised_pieces(_notes(spark, sf_dir), _RATE).groupBy("song").agg(F.sum("n").alias("n"), F.max("peak").alias("peak"))
 
 
-@query()
+@query(f"SELECT song, CAST(44 + 2 * sum({_N}) AS BIGINT) AS n_bytes FROM {_NOTES} GROUP BY song")
 def note_wave(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WAV files of all songs: their sizes."""
     return notes.wave_pieces(_notes(spark, sf_dir), _RATE).groupBy("song").agg(F.sum(F.length("piece")).alias("n_bytes"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -31,9 +32,15 @@ def build_session(cores: str = "*", shuffle_partitions: int = 8, **extra: str) -
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one is made only where the session names none."""
+    """The folder all executors share.
+
+    A session with executors on other machines must name it in ``spark.checkpoint.dir``, else RuntimeError; one is made
+    only for a session that runs in a single process.
+    """
     where = spark.conf.get(SHARED_DIR_CONF, None)
     if not where:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError(f"{SHARED_DIR_CONF} must name a folder that all executors share")
         where = tempfile.mkdtemp(prefix="lumenar-shared-")
         spark.conf.set(SHARED_DIR_CONF, where)
     return where

@@ -14,3 +14,13 @@ def spark(tmp_path_factory):
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture(autouse=True)
+def _no_cuts_left(request):
+    """What a test has written to the shared folder goes with it."""
+    yield
+    if "spark" in request.fixturenames:
+        from lumenar.session import clear_cuts
+
+        clear_cuts(request.getfixturevalue("spark"))

@@ -24,8 +24,8 @@ def test_addresses(spark):
         "https://www.facebook.com/watch/?v=12345", "https://www.facebook.com/watch/?v=6789", "https://www.facebook.com/watch/?v=%zz", "https://www.facebook.com/watch/?v=a b", "no url", None, "https://x.org/#/v/9"]
     assert column(spark, ["https://x.org/a?v=1"], lambda c: urls.facebook_watch(c, strict=True)) == ["https://x.org/a?v=1"]
     assert column(spark, ["https://www.instagram.com/reel/Ab_1/?x=1", "https://www.tiktok.com/@u/video/1", "https://i.org/p/", None], urls.instagram_post) == ["https://www.instagram.com/reel/Ab_1/", "https://www.tiktok.com/@u/video/1", "https://i.org/p/", None]
-    assert column(spark, ["https://m.Facebook.com/x", "http://instagram.com", "https://tiktok.com", "https://youtu.be/1", "https://drive.google.com/x", "https://example.com/facebook", "plain", None], urls.host_class) == [
-        "facebook", "instagram", "instagram", "youtube", "google_drive", "unknown", "unknown", None]
+    assert column(spark, ["https://m.Facebook.com/x", "http://instagram.com", "https://tiktok.com", "https://youtu.be/1", "https://drive.google.com/x", "https://example.com/facebook", "plain", None, "https://maps.google.de/", "https://facebook.org", "https://x.googleusercontent.com"], urls.host_class) == [
+        "facebook", "instagram", "instagram", "youtube", "google_drive", "unknown", "unknown", None, "unknown", "unknown", "google_drive"]
     assert column(spark, ["https://drive.google.com/file/d/0123456789ab/view", "https://d.org/?id=abc", None], urls.drive_file_id) == ["0123456789ab", None, None]
     assert column(spark, ["https://www.münchen.de/a", "http://a.b//c.d/e", "plain", ""], urls.slug) == ["münchen-de", "c-d", "plain", ""]
     assert column(spark, ["https://u:p@Host.org:80/a b?c"], urls.authority) == ["u:p@host.org:80"]
@@ -82,6 +82,7 @@ def test_pages(spark):
     assert html.paragraphs("<p>a<p>b</p>c<p>d") == ["ab"] and html.paragraphs("<p> </p><p>x &amp; y</p>") == ["x & y"]
     page = "<nav>n</nav><article><h1>T</h1><p>a <em>b</em></p><script>s</script><footer>f</footer></article><p>z</p>"
     assert html.editorial(page) == ("T\na\nb", "T a *b* b")
+    assert html.editorial("<article><em> a <b> b </b></em></article>")[1].startswith("*ab* ")
     assert html.editorial("<div id='main-content'>m</div><div class='x content'>c</div>")[0] == "m" and html.editorial("<div class='x content'>c</div>")[0] == "c"
     assert html.editorial("<p>a</p><aside><p>b</p></aside><p>c</p>")[0] == "a\nc"
     assert column(spark, [page, None], lambda c: html.editorial_text(c)["plain"]) == ["T\na\nb", None]
@@ -94,8 +95,10 @@ def test_transcripts(spark):
     df = spark.createDataFrame(segs, "media_id string, seg_idx int, start_s double, end_s double, text string")
     assert {r.media_id: r.full_text for r in transcript.segment_text(df.distinct()).collect()} == {"m": "One two. Three four. Five", "n": "x"}
     timed = transcript.timed_sentences(df).orderBy("media_id", "sent_idx").collect()
-    assert [(r.sentence, r.start_s, r.end_s) for r in timed] == [("One two.", None, 1.0), ("Three four.", 1.0, 3.46), ("Five", None, None), ("x", 61.0, 62.0)]
+    assert [(r.sentence, r.start_s, r.end_s) for r in timed] == [("One two.", None, 1.0), ("Three four.", 1.0, 3.46), ("Five", 4.0, 5.0), ("x", 61.0, 62.0)]
     assert transcript.align_to_segments(["a"], []) == [("a", None, None)]
+    # the first start that is known counts, and the last end even if it isn't
+    assert transcript.align_to_segments(["ab cd."], [(None, 1.0, "ab"), (0.5, None, "cd.")]) == [("ab cd.", 0.5, None)]
     srt = {r.media_id: r.subtitles for r in transcript.subtitles(df).collect()}
     assert srt["n"] == "1\n00:01:01,000 --> 00:01:02,000\nx\n\n"
     assert {r.media_id: r.subtitles for r in transcript.subtitles(df, "vtt").collect()}["n"] == "WEBVTT\n\n00:01:01.000 --> 00:01:02.000\nx\n\n"
