@@ -112,9 +112,9 @@ def compile_transducer() -> tuple[re.Pattern, dict[str, str]]:
     return pattern, outputs
 
 
-#: A stretch in which clusters may change, with the character its first marks belong to.
+#: A stretch in which clusters may change, but for the character before it that its first marks belong to.
 _LATIN = [c for c in range(128, 256) if canonical_cluster(chr(c)) != chr(c)]
-_STRETCH = re.compile(f"[^{_ranges(_LATIN)}\u0100-\U0010ffff]?[{_ranges(_LATIN)}\u0100-\U0010ffff]+")
+_STRETCH = re.compile(f"[{_ranges(_LATIN)}\u0100-\U0010ffff]+")
 
 
 class _Stretches(dict):
@@ -134,7 +134,15 @@ def canonical(text: str | None) -> str | None:
     """The one form of all texts that look like ``text``."""
     if text is None or text.isascii():
         return text
-    return _STRETCH.sub(lambda m: _stretches[m[0]], text)
+    parts, done = [], 0
+    for found in _STRETCH.finditer(text):
+        start, end = found.span()
+        start = max(done, start - 1)
+        parts.append(text[done:start])
+        parts.append(_stretches[text[start:end]])
+        done = end
+    parts.append(text[done:])
+    return "".join(parts)
 
 
 def canonical_column(df: DataFrame, columns: list[str], suffix: str = "_canonical") -> DataFrame:
