@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenar.llm.lookalikes import canonical
+from lumenar.llm.lookalikes import canonical, look_alike_table, transducer
 from lumenar.session import cut_lineage
 
 #: Words in fewer documents than this aren't in the tables; they match by spelling.
@@ -82,7 +82,7 @@ def _fold(word: str) -> str:
     return "".join([c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c)])
 
 
-def words(sentence: str) -> list[str]:
+def words(sentence: str, canonical: Callable[[str], str] = canonical) -> list[str]:
     """Words of a sentence: look-alikes made one, case and accents dropped, digit groups closed."""
     return [_fold(w) for w in _WORD.findall(canonical(sentence))]
 
@@ -93,12 +93,13 @@ class _Chunks(dict):
     A code is the hash of a folded word; its last bit says whether the word may match by spelling.
     """
 
-    def __init__(self) -> None:
+    def __init__(self, canonical: Callable[[str], str]) -> None:
+        self.canonical = canonical
         self.codes, self.sizes, self.ends = array("q"), array("q"), array("b")
 
     def __missing__(self, chunk: str) -> int:
         number = self[chunk] = len(self)
-        found = words(chunk)
+        found = words(chunk, self.canonical)
         self.codes.extend([_hash(w) & ~1 | (len(w) >= 4 or w.isdigit()) for w in found])
         self.sizes.append(len(found))
         self.ends.append(chunk[-1] in ".!?")
@@ -138,15 +139,18 @@ def _words_of(texts: list[str], chunks: _Chunks) -> list[pa.ListArray]:
     return [_lists(in_sentence, n_sentences, pa.int32()), _lists(distinct[key % width], per_text, pa.int64()), _lists(count, per_text, pa.int32())]
 
 
-def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    chunks = _Chunks()
-    for whole in batches:
-        for at in range(0, whole.num_rows, 2000):
-            if len(chunks) > 500_000:
-                chunks = _Chunks()
-            batch = whole.slice(at, 2000)
-            columns = [*(batch.column(i) for i in range(3)), *[x for i in (3, 4) for x in _words_of(batch.column(i).to_pylist(), chunks)]]
-            yield pa.RecordBatch.from_arrays(columns, names=_COLUMNS)
+def _tokenise(canonical: Callable[[], Callable[[str], str]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks = _Chunks(canonical())
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                if len(chunks) > 500_000:
+                    chunks = _Chunks(canonical())
+                batch = whole.slice(at, 2000)
+                columns = [*(batch.column(i) for i in range(3)), *[x for i in (3, 4) for x in _words_of(batch.column(i).to_pylist(), chunks)]]
+                yield pa.RecordBatch.from_arrays(columns, names=_COLUMNS)
+
+    return run
 
 
 _COLUMNS = ["uid", "id", "lang", *[f"{x}_{n}" for x in "st" for n in ("sentences", "words", "counts")]]
@@ -736,7 +740,8 @@ class Trained:
 def tokenise_documents(texts: DataFrame) -> DataFrame:
     """``texts`` has ``id, lang, source, target``: the two texts of a document and the target's language."""
     both = texts.filter("id is not null and source is not null and target is not null").select(F.xxhash64("id", "lang", "source", "target").alias("uid"), "id", "lang", "source", "target")
-    return cut_lineage(both.mapInArrow(_tokenise, _TOKENISED))
+    table = look_alike_table()
+    return cut_lineage(both.mapInArrow(_tokenise(lambda: transducer(table)), _TOKENISED))
 
 
 def train_lexicon(docs: DataFrame) -> Trained:

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from lumenar.llm.alignment import align_sentences
 from lumenar.llm.boilerplate import content_lines, main_text
-from lumenar.llm.lookalikes import LOOKALIKES, canonical_column, same_reading_pairs
+from lumenar.llm.lookalikes import canonical_column, same_reading_classes, same_reading_pairs
 from lumenar.llm.mixing import mix_sources, reached_shares
 from lumenar.llm.mojibake import garbled_documents, restore_documents
-from lumenar.llm.spans import shared_report, shared_spans, span_pairs, without_repeats
+from lumenar.llm.spans import record_pairs, shared_report, shared_spans, without_repeats
 from lumenar.llm.tokens import count_tokens, encode_column
 from lumenar.session import cut_lineage, read_table
 
@@ -38,6 +38,14 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("id_a").alias("post_a"), F.col("id_b").alias("post_b"), F.col("lang").alias("content_lang"))
 
 
+def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same without expanding copies: each text with its reading, where that has more than one spelling."""
+    posts = read_table(spark, sf_dir, "posts")
+    texts = posts.select(F.col("post_id").alias("id"), F.col("ingested_at").alias("version"), F.expr("stack(2, 'spanish', content.spanish, 'portuguese', content.portuguese) as (lang, text)"))
+    found = same_reading_classes(texts)
+    return found.select(F.col("id").alias("post_id"), F.col("lang").alias("content_lang"), F.lower(F.hex("reading")).alias("reading"), F.lower(F.hex("spelling")).alias("spelling"))
+
+
 def p2_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every post's Spanish and Portuguese text in the consistent form; the latest delivery counts."""
     posts = read_table(spark, sf_dir, "posts").select("post_id", "ingested_at", F.col("content.spanish").alias("spanish"), F.col("content.portuguese").alias("portuguese"))
@@ -54,7 +62,7 @@ def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = span_pairs(shared_spans(_runs(spark, sf_dir), "run_id", _RUN_FIELDS))
+    pairs = record_pairs(_runs(spark, sf_dir), "run_id", _RUN_FIELDS)
     return pairs.select(F.col("rid_a").alias("run_a"), F.col("rid_b").alias("run_b"))
 
 
@@ -87,10 +95,17 @@ def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many tokens as the targeted sources have; sources too small for their share are clamped at their cap."""
     return mix_sources(_sized(spark, sf_dir), read_table(spark, sf_dir, "mix_targets"))
 
 
+def p9_mix_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many tokens as let every source with documents reach its share exactly."""
+    return mix_sources(_sized(spark, sf_dir), read_table(spark, sf_dir, "mix_targets"), total="exact")
+
+
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares that ``p9_mix`` reaches."""
     sized, targets = _sized(spark, sf_dir), read_table(spark, sf_dir, "mix_targets")
     return reached_shares(mix_sources(sized, targets), sized, targets)
 
@@ -107,6 +122,7 @@ QUERIES = {
     "p1_found": p1_found,
     "p1_links": p1_links,
     "p2_found": p2_found,
+    "p2_classes": p2_classes,
     "p2_canonical": p2_canonical,
     "p4_found": p4_found,
     "p4_shared": p4_shared,
@@ -115,6 +131,7 @@ QUERIES = {
     "p6_main_text": p6_main_text,
     "p8_ids": p8_ids,
     "p9_mix": p9_mix,
+    "p9_mix_exact": p9_mix_exact,
     "p9_shares": p9_shares,
     "p10_found": p10_found,
     "p10_restored": p10_restored,
@@ -126,9 +143,18 @@ m AS (SELECT s FROM w GROUP BY s HAVING count(*) > 1)
 SELECT DISTINCT a.run_id AS run_a, b.run_id AS run_b FROM w a JOIN m ON a.s = m.s JOIN w b ON a.s = b.s WHERE a.run_id < b.run_id"""
 
 
+# Letters of other alphabets, each before the letter it looks like.
+_ALIKE = (
+    "аaеeоoрpсcуyхxіiѕsјjһhԁdԛqԝwАAВBЕEКKМMНHОOРPСCТTХXІIЅSЈJҮYԚQԜW"
+    "οoνvϲcϳjΑAΒBΕEΖZΗHΙIΚKΜMΝNΟOΡPΤTΥYΧX"
+    "ɑaɡgօoսuհhոn"
+    "‐-‑-"
+)
+
+
 def _same_reading_sql() -> str:
     """Characters mapped one to one, invisible ones removed, accents composed: enough for the signs of these texts."""
-    table = dict(LOOKALIKES)
+    table = dict(zip(_ALIKE[::2], _ALIKE[1::2]))
     table |= {chr(c + 0xFEE0): chr(c) for c in range(0x21, 0x7F)}
     table |= dict(zip("ⅰⅴⅹⅼⅽⅾⅿⅠⅤⅩⅬⅭⅮⅯ", "ivxlcdmIVXLCDM"))
     table |= dict.fromkeys("\xa0\u2002\u2003\u2005\u2007\u2009\u202f\u3000", " ") | {"ό": "ó"}

@@ -161,7 +161,7 @@ def test_joined_tables_give_what_broadcast_tables_give(spark, monkeypatch):
 
 def test_words_of_batches_are_those_of_single_sentences():
     texts = ["One two, two!  Three 2.481 four\u2003five? six.", "", " ... ", "No end", "¿Qué?\nＭás ｄe 3,5 (x)... y", "a\u200bb. Ζ"]
-    sizes, codes, counts = alignment._words_of(texts, alignment._Chunks())
+    sizes, codes, counts = alignment._words_of(texts, alignment._Chunks(alignment.canonical))
     for text, n, code, count in zip(texts, sizes.to_pylist(), codes.to_pylist(), counts.to_pylist()):
         parts = [words(x) for x in sentences(text)]
         assert n == [len(set(x)) for x in parts]

@@ -3,7 +3,7 @@ import unicodedata
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lumenar.llm.lookalikes import canonical, canonical_cluster, canonical_column, same_reading_pairs
+from lumenar.llm.lookalikes import canonical, canonical_cluster, canonical_column, look_alike_table, same_reading_classes, same_reading_pairs
 
 PAIRS = [
     ("ｃｏｏｐ １２３！", "coop 123!"), ("асоrԁо", "acordo"), ("a​b‌r⁠i\xadu﻿", "abriu"), ("gravaс̧а̃о", "gravação"), ("pόdcast", "pódcast"),
@@ -74,3 +74,15 @@ def test_micro_sign_and_far_invisible_characters():
     assert canonical("a\U000e0100b\U000e0041\U000e01efc") == "abc"
     england, scotland = ("\U0001f3f4" + "".join(chr(0xE0000 + ord(c)) for c in name) + "\U000e007f" for name in ("gbeng", "gbsct"))
     assert canonical(england) == england and canonical(scotland) == scotland
+
+
+def test_letters_of_the_public_data():
+    assert canonical("ıӏѵᎪꓐ℮") == "iivABe" and canonical("ІꓲӀ") == "IlI"
+    assert canonical("º ª ß ñ ω ж א ه") == "º ª ß ñ ω ж א ه"
+    assert len(look_alike_table()) > 300 and all(canonical(x) == x for x in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+
+
+def test_classes(spark):
+    rows = [(1, 1, "s", "caso"), (2, 1, "s", "caѕo"), (3, 1, "s", "caso"), (4, 1, "s", "otro"), (5, 1, "s", "otro"), (6, 1, "p", "caso")]
+    found = same_reading_classes(spark.createDataFrame(rows, "id bigint, version int, lang string, text string")).collect()
+    assert sorted(r.id for r in found) == [1, 2, 3] and len({r.reading for r in found}) == 1 and len({r.spelling for r in found}) == 2

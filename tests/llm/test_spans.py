@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lumenar.llm import spans
-from lumenar.llm.spans import covered, shared_report, shared_spans, span_pairs, starts, without_repeats
+from lumenar.llm.spans import covered, hash_records, record_pairs, repeated_runs, runs, shared_report, shared_spans, span_pairs, starts, without_repeats
 
 LEAST = 40
 
@@ -69,6 +69,7 @@ def test_pairs_and_cover_like_brute_force(spark, seed, hot, monkeypatch):
     found = run(spark, rows).cache()
     assert {tuple(r) for r in span_pairs(found).collect()} == brute(rows, LEAST)
     df = spark.createDataFrame(rows, "id bigint, a string, b string")
+    assert {tuple(r) for r in record_pairs(df, "id", ["a", "b"], LEAST).collect()} == brute(rows, LEAST)
     report = {r.id: r for r in shared_report(df, found, "id", ["a", "b"]).collect()}
     assert {i: r.shared_chars for i, r in report.items()} == brute_cover(rows, LEAST)
     assert all(r.n_chars == sum(len(t or "") for t in rows[i][1:]) for i, r in report.items())
@@ -96,4 +97,19 @@ def test_repeats_are_kept_once(spark):
     found = shared_spans(df, "id", ["a", "b"], LEAST)
     assert {(r.id, r.a, r.b) for r in without_repeats(df, found, "id", ["a", "b"]).collect()} == {(1, same + " One.", None), (2, "Two. ", None), (3, None, "Three."), (4, None, None)}
     assert covered(found).count() == 3
-    assert shared_spans(df.limit(0), "id", ["a", "b"], LEAST).count() == 0
+    assert span_pairs(shared_spans(df.limit(0), "id", ["a", "b"], LEAST)).count() == 0 == record_pairs(df.limit(0), "id", ["a", "b"], LEAST).count()
+
+
+def test_runs_of_sentences():
+    text = "Short one. " * 4 + "A longer sentence that goes on and on for a good while. End."
+    at = [0, 11, 22, 33, 44, 100]
+    assert runs(text, 20) == [(a, a + 21) for a in at[:3]] + [(33, 99), (44, 104)]
+    assert runs("One sentence that is long enough all by itself", 20) == [] and runs("", 20) == []
+
+
+def test_equal_runs_are_found_by_their_hash_alone(spark):
+    same = "The coast guard found it. Nobody knows why. The museum kept the map."
+    rows = [(i, f"{i} x. {same}" if i % 2 else None, f"{same} y" if i % 2 == 0 else None) for i in range(7)] + [(50, "zz" + same[10:50] + "qq", None)]
+    found = repeated_runs(hash_records(spark.createDataFrame(rows, "id bigint, a string, b string"), "id", ["a", "b"], LEAST))
+    assert {tuple(r) for r in span_pairs(found).collect()} == {(a, b) for a in range(7) for b in range(a + 1, 7)}
+    assert {r.rid: max(s["to"] - s["from"] for s in r.spans) for r in covered(found).collect()} == {i: len(same) if i % 2 else len(same) for i in range(7)}
