@@ -20,6 +20,33 @@ def number_clips(clips: DataFrame, media: str, order: list[str]) -> DataFrame:
     return clips.withColumn("clip_no", F.row_number().over(Window.partitionBy(media).orderBy(*order)))
 
 
+def clip_lists(clips: DataFrame, media: str, order: list[str]) -> DataFrame:
+    """``media, clips``: JSON text of each medium's clips by name ``clip_1``, ``clip_2``, …, each a list of one clip.
+
+    Names run in order within a medium; a missing end is left out, a missing text is ''. A clip document is one value.
+    """
+    entry = F.array(F.struct(F.col("start_s").alias("start"), F.coalesce("text", F.lit("")).alias("text"), F.col("end_s").alias("end")))
+    named = number_clips(clips, media, order).select(media, "clip_no", F.concat(F.lit("clip_"), "clip_no").alias("name"), entry.alias("entry"))
+    ordered = F.sort_array(F.collect_list(F.struct("clip_no", "name", "entry")))
+    return named.groupBy(media).agg(F.to_json(F.map_from_entries(F.transform(ordered, lambda x: F.struct(x["name"], x.entry)))).alias("clips"))
+
+
+def captioned_plan(clips: DataFrame, recognised: str, name: str = "name", source: str = "source", folder: str = "folder") -> DataFrame:
+    """Add ``output, audio_argv, argv, text, paragraph`` to clips by name that get what was said in them as captions.
+
+    The audio is cut out for a recogniser; a non-empty ``recognised`` replaces the clip's text; the clip is
+    encoded as it is, and ``paragraph`` (what was recognised, '' for none) goes to the captioning.
+    """
+    output = F.concat(F.col(folder), F.lit("/clips/"), F.col(name), F.lit(".mp4"))
+    cut = F.array(F.lit("ffmpeg"), F.lit("-i"), F.col(source), F.lit("-ss"), F.col("start_s").cast("string"), F.lit("-to"), F.col("end_s").cast("string"))
+    wav = F.concat(F.col(folder), F.lit("/clips/"), F.col(name), F.lit(".wav"))
+    said = F.coalesce(recognised, F.lit(""))
+    return clips.withColumns({
+        "output": output, "audio_argv": F.concat(cut, F.array(F.lit("-vn"), wav)), "argv": F.concat(cut, F.array(F.lit("-c:v"), F.lit("libx264"), F.lit("-c:a"), F.lit("aac"), output)),
+        "text": F.when(said != "", said).otherwise(F.col("text")), "paragraph": said,
+    })
+
+
 def _extension(path: Column) -> Column:
     return F.regexp_extract(path, r"(\.[^./]*)$", 1)
 
@@ -37,6 +64,7 @@ def ffmpeg_plan(clips: DataFrame, source: str = "source", folder: str = "folder"
         lit("ffmpeg"), lit("-i"), F.col(source), lit("-ss"), F.col("start_s").cast("string"), lit("-to"), F.col("end_s").cast("string"),
         lit("-c:v"), F.col("video_codec"), lit("-c:a"), F.col("audio_codec"), lit("-strict"), lit("experimental"),
     )
+    # fixed values: place, size and colour of the text
     drawn = F.concat(lit("drawtext=text='"), escaped_drawtext(F.col("text")), lit("':x=10:y=10:fontsize=24:fontcolor=yellow"))
     middle = F.when(F.coalesce(F.col("text") != "", lit(False)), F.array(lit("-vf"), drawn)).otherwise(F.array().cast("array<string>"))
     return work.select(*clips.columns, output.alias("output"), F.concat(head, middle, F.array(output)).alias("argv"))

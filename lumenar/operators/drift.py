@@ -366,10 +366,12 @@ def compile_projections(changes: DataFrame) -> DataFrame:
             rows: list[tuple] = []
             for feed, listed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 names: dict[str, str] = {}
-                rules = _lineage(listed)
-                steps = sorted({f for f, _, _ in rules})
+                rules: dict[int, dict[str, str]] = {}
+                for since, path, name in _lineage(listed):
+                    rules.setdefault(since, {})[path] = name
+                steps = sorted(rules)
                 for since, until in zip(steps, [*steps[1:], None]):
-                    names |= {p: n for f, p, n in rules if f == since}
+                    names |= rules[since]
                     rows.append((feed, since, until, [{"path": p, "name": n} for p, n in names.items() if p != n]))
             kinds = (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.struct([("path", pa.string()), ("name", pa.string())])))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["feed", "since", "until", "names"])

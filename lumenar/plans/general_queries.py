@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenar.operators.drift import schema_changes, steady_table
 from lumenar.operators.nested import explode_nodes, index_nested
-from lumenar.operators.timestamps import CASCADE, ZONE_LETTERS, month_table, normalise_timestamps, zone_lookup
+from lumenar.operators.timestamps import normalise_timestamps, zone_lookup
 from lumenar.session import cut_lineage, read_table
 
 
@@ -109,6 +109,32 @@ UNION ALL SELECT feed, n, p, 'added', '' FROM come_tops g WHERE NOT EXISTS (SELE
 
 
 
+# The twin of p3_found has its own values. Patterns in the dialect of the SQL engine with the groups of
+# year, month, day, hour, minute, second, fraction, half of the day, zone and region; minutes of zone letters; months.
+_CLOCK = r"(\d\d?):(\d\d)(?::(\d\d)(?:[.,](\d{1,9}))?)?"
+_PLACE = r"(Z|[+-]\d\d(?::?\d\d)?|[A-Z]{2,5}|[A-Za-z]+(?:/[A-Za-z_+-]+)+)?(?:\[([A-Za-z]+(?:/[A-Za-z_+-]+)*)\])?"
+_MONTH = r"([^0-9_.,: /-]{3,12})\.?"
+_AM = r"(?: ?([AaPp])\.?[Mm]\.?)?"
+_FORMATS = (
+    ("iso", rf"^(\d{{4}})-(\d\d)-(\d\d)(?:[T ]{_CLOCK} ?{_PLACE})?$", (1, 2, 3, 4, 5, 6, 7, 0, 8, 9)),
+    ("basic", rf"^(\d{{4}})(\d\d)(\d\d)(?:T(\d\d):?(\d\d)(?::?(\d\d)(?:[.,](\d{{1,9}}))?)? ?{_PLACE})?$", (1, 2, 3, 4, 5, 6, 7, 0, 8, 9)),
+    ("epoch", r"^(\d{10,19})(?:\.(\d{1,9}))?$", (1, 0, 0, 0, 0, 0, 2, 0, 0, 0)),
+    ("slash_ymd", rf"^(\d{{4}})/(\d\d?)/(\d\d?)(?:[T ]{_CLOCK} ?{_PLACE})?$", (1, 2, 3, 4, 5, 6, 7, 0, 8, 9)),
+    ("digits", rf"^(\d\d?)([/.-])(\d\d?)[/.-](\d{{4}})(?:,? {_CLOCK}{_AM} ?{_PLACE})?$", (4, 1, 3, 5, 6, 7, 8, 9, 10, 11)),
+    ("mail", rf"^(?:{_MONTH},? )?(\d\d?) {_MONTH} (\d{{4}}) {_CLOCK} ?{_PLACE}$", (4, 3, 2, 5, 6, 7, 8, 0, 9, 10)),
+    ("month_first", rf"^{_MONTH} (\d\d?),? (\d{{4}})(?:,? {_CLOCK}{_AM} ?{_PLACE})?$", (3, 1, 2, 4, 5, 6, 7, 8, 9, 10)),
+    ("clock_first", rf"^{_CLOCK}{_AM} [·-] {_MONTH} (\d\d?), (\d{{4}})$", (8, 6, 7, 1, 2, 3, 4, 5, 0, 0)),
+    ("de", rf"^(\d\d?) de {_MONTH} de (\d{{4}})(?:,?(?: às| a las)? (\d\d?)[:h](\d\d)(?::(\d\d))? ?{_PLACE})?$", (3, 2, 1, 4, 5, 6, 0, 0, 7, 8)),
+)
+_LETTERS = {"Z": 0, "UTC": 0, "GMT": 0, "CET": 60, "CEST": 120, "BRT": -180, "ART": -180, "EDT": -240, "EST": -300, "PDT": -420, "PST": -480}
+_MONTHS = (
+    "january jan janu janeiro jane enero ene ener", "february feb febrero febr fevereiro fev feve", "march mar marc marzo marz março març", "april apr apri abril abr abri",
+    "may mayo maio mai", "june jun junio juni junho junh", "july jul julio juli julho julh", "august aug augu agosto ago agos",
+    "september sep sept septiembre setembro set sete", "october oct octo octubre octu outubro out outu", "november nov nove noviembre novi novembro",
+    "december dec dece diciembre dic dici dezembro dez deze",
+)
+
+
 def _only_group(pattern: str, wanted: int) -> str:
     """The pattern with one group left that captures."""
     count = 0
@@ -121,26 +147,22 @@ def _only_group(pattern: str, wanted: int) -> str:
     return re.sub(r"\((?!\?)", keep, pattern)
 
 
-def _instants_sql() -> str:
+def _instants_sql(last: str) -> str:
     """The cascade with SQL pattern functions; the later of two equal local times is moved back by hand."""
-    plain = lambda p: p.replace("[^\\W\\d_]", "[^0-9_.,: /-]").replace("\\2", "[/.-]")
-    fits = "CASE " + " ".join(f"WHEN regexp_matches(c, '{plain(p)}') THEN '{n}'" for n, p, _ in CASCADE) + " END"
+    fits = "CASE " + " ".join(f"WHEN regexp_matches(c, '{p}') THEN '{n}'" for n, p, _ in _FORMATS) + " END"
     slots = ("y", "mo", "d", "h", "mi", "s", "f", "half", "zone", "region")
     columns = []
     for k, slot in enumerate(slots):
-        parts = []
-        for name, pattern, layout in CASCADE:
-            ref = layout.split("|")[k]
-            parts.append(f"WHEN '{name}' THEN " + (f"regexp_extract(c, '{_only_group(plain(pattern), int(ref[1:]))}', 1)" if ref else "''"))
+        parts = [f"WHEN '{name}' THEN " + (f"regexp_extract(c, '{_only_group(pattern, groups[k])}', 1)" if groups[k] else "''") for name, pattern, groups in _FORMATS]
         columns.append(f"CASE fmt {' '.join(parts)} END AS {slot}")
-    months = "CASE lower(mo) " + " ".join(f"WHEN '{m}' THEN {n}" for m, n in month_table().items()) + " ELSE try_cast(mo AS INT) END"
-    letters = "CASE zone " + " ".join(f"WHEN '{z}' THEN {m}" for z, m in ZONE_LETTERS.items()) + " END"
+    months = "CASE lower(mo) " + " ".join(f"WHEN '{m}' THEN {n}" for n, names in enumerate(_MONTHS, 1) for m in names.split()) + " ELSE try_cast(mo AS INT) END"
+    letters = "CASE zone " + " ".join(f"WHEN '{z}' THEN {m}" for z, m in _LETTERS.items()) + " END"
     swap = "fmt = 'digits' AND coalesce(locale, '') <> 'en-US'"
     digits = "regexp_replace(zone, '[^0-9]', '', 'g')"
     offset = f"CASE WHEN regexp_matches(zone, '^[+-]') THEN (CASE WHEN zone[1] = '-' THEN -1 ELSE 1 END) * (CAST({digits}[1:2] AS INT) * 60 + coalesce(try_cast({digits}[3:4] AS INT), 0)) ELSE {letters} END"
     place = "CASE WHEN contains(zone, '/') THEN zone WHEN zone = '' AND region <> '' THEN region WHEN zone = '' THEN home_zone END"
     blank = r"[\s\x{a0}\x{202f}\x{2009}]+"
-    return f"""WITH x AS (SELECT DISTINCT 'posts' AS src, post_id AS rec_id, author.handle AS handle, timestamp_raw AS t FROM posts UNION SELECT 'video_inputs', input_id, handle, date_raw FROM video_inputs UNION SELECT 'video_info', info_id, uploader_id, video_date FROM video_info),
+    return f"""WITH x AS (SELECT src, rec_id, handle, t FROM (SELECT 'posts' AS src, post_id AS rec_id, author.handle AS handle, timestamp_raw AS t, ingested_at FROM posts UNION ALL SELECT 'video_inputs', input_id, handle, date_raw, ingested_at FROM video_inputs UNION ALL SELECT 'video_info', info_id, uploader_id, video_date, ingested_at FROM video_info) QUALIFY row_number() OVER (PARTITION BY src, rec_id ORDER BY ingested_at DESC NULLS LAST, t DESC NULLS LAST) = 1),
 z AS (SELECT handle, min(home_zone) AS home_zone, min(locale) AS locale FROM authors GROUP BY handle),
 c AS (SELECT src, rec_id, home_zone, locale, trim(regexp_replace(t, '{blank}', ' ', 'g')) AS c FROM x LEFT JOIN z USING (handle) WHERE t IS NOT NULL),
 p AS (SELECT *, {", ".join(columns)} FROM (SELECT *, {fits} AS fmt FROM c) WHERE fmt IS NOT NULL),
@@ -148,9 +170,12 @@ n AS (SELECT *, try_cast(y AS BIGINT) AS year, CASE WHEN {swap} THEN try_cast(d
   coalesce(try_cast(h AS INT), 0) AS hour, coalesce(try_cast(mi AS INT), 0) AS minute, coalesce(try_cast(s AS INT), 0) AS second, CAST(rpad(f[1:6], 6, '0') AS BIGINT) AS micro, {offset} AS off, {place} AS place FROM p),
 w AS (SELECT *, CASE WHEN fmt <> 'epoch' AND minute < 60 AND second < 60 AND CASE WHEN half = '' THEN hour < 24 ELSE hour BETWEEN 1 AND 12 END THEN
   try_cast(try_cast(printf('%04d-%02d-%02d', year, month, day) AS DATE) AS TIMESTAMP) + to_microseconds(CAST(((CASE WHEN half = '' THEN hour ELSE hour % 12 + CASE WHEN lower(half) = 'p' THEN 12 ELSE 0 END END) * 3600 + minute * 60 + second) AS BIGINT) * 1000000 + micro) END AS wall FROM n),
-u AS (SELECT *, CASE WHEN off IS NULL AND place IS NOT NULL THEN timezone(place, wall) END AS late FROM w)
-SELECT src, rec_id, CAST(utc_us AS BIGINT) AS utc_us FROM (SELECT src, rec_id, CASE WHEN fmt = 'epoch' THEN CASE WHEN length(y) <= 11 THEN year * 1000000 + micro WHEN length(y) <= 14 THEN year * 1000 + micro // 1000 WHEN length(y) <= 17 THEN year ELSE year // 1000 END
-  WHEN off IS NOT NULL THEN epoch_us(wall) - CAST(off AS BIGINT) * 60000000 WHEN timezone(place, late - INTERVAL 1 HOUR) = wall THEN epoch_us(late) - 3600000000 ELSE epoch_us(late) END AS utc_us FROM u) WHERE utc_us IS NOT NULL"""
+u AS (SELECT *, CASE WHEN off IS NULL AND place IS NOT NULL THEN timezone(place, wall) END AS late FROM w),
+r AS (SELECT src, rec_id, fmt, CASE WHEN fmt = 'epoch' THEN CASE WHEN length(y) <= 11 THEN year * 1000000 + micro WHEN length(y) <= 14 THEN year * 1000 + micro // 1000 WHEN length(y) <= 17 THEN year ELSE year // 1000 END
+  WHEN off IS NOT NULL THEN epoch_us(wall) - CAST(off AS BIGINT) * 60000000 WHEN timezone(place, late - INTERVAL 1 HOUR) = wall THEN epoch_us(late) - 3600000000 ELSE epoch_us(late) END AS utc_us FROM u)
+{last}"""
 
 
-ORACLES = {"p3_found": _instants_sql(), "p5_found": _DRIFT, "p7_found": _NODES}
+_P3_FOUND = _instants_sql("SELECT src, rec_id, CAST(utc_us AS BIGINT) AS utc_us FROM r WHERE utc_us IS NOT NULL")
+_P3_FORMATS = _instants_sql("SELECT x.src, r.fmt AS ts_format, count(*) AS n_records, count(r.utc_us) AS n_resolved FROM x LEFT JOIN r ON x.src = r.src AND x.rec_id = r.rec_id GROUP BY 1, 2")
+ORACLES = {"p3_found": _P3_FOUND, "p3_formats": _P3_FORMATS, "p5_found": _DRIFT, "p7_found": _NODES}

@@ -349,16 +349,31 @@ def ledger_existing_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _latest(read_table(spark, sf_dir, "video_info"), "info_id", output=ledger.existing_output(F.try_parse_json("info_dict"), "uploader"))
 
 
-@query()
+_CHAIN = _latest_sql("video_info", "info_id", uploader="uploader", video_date="video_date", ext="ext")
+_NAMED = (
+    "replace(replace(coalesce(nullif(" + _strip_sql("uploader") + ", ''), 'unknown_uploader'), ' ', '_'), '/', '_') || '_' || "
+    "coalesce(nullif(" + _strip_sql("video_date") + ", ''), 'unknown_date') || '.' || coalesce(ext, 'mp4')"
+)
+_SECONDS = (
+    "CASE WHEN regexp_full_match(video_date, '[0-9]{1,12}') THEN CAST(video_date AS BIGINT) WHEN regexp_full_match(video_date, '[0-9]{1,9}:[0-9]{1,9}:[0-9]{1,9}') "
+    "THEN CAST(split_part(video_date, ':', 1) AS BIGINT) * 3600 + CAST(split_part(video_date, ':', 2) AS BIGINT) * 60 + CAST(split_part(video_date, ':', 3) AS BIGINT) "
+    "WHEN regexp_full_match(video_date, '[0-9]{1,9}:[0-9]{1,9}') THEN CAST(split_part(video_date, ':', 1) AS BIGINT) * 60 + CAST(split_part(video_date, ':', 2) AS BIGINT) END"
+)
+
+
+@query(
+    f"SELECT info_id, uploader, video_date, ext, {_NAMED} AS original_filename, regexp_replace({_NAMED}, '\\.[^./]*$', '') || '_wm.mp4' AS watermarked, {_SECONDS} AS date_seconds, "
+    f"CASE WHEN {_SECONDS} IS NULL THEN 'date_seconds' ELSE '' END AS errors FROM {_CHAIN}"
+)
 def ledger_merge_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The download chain as columns: name, sidecar, codec; what a step can't give is listed in ``errors``."""
+    """The download chain as columns: name, watermarked file, seconds; what a step can't give is listed in ``errors``."""
     info = _latest(read_table(spark, sf_dir, "video_info"), "info_id", **{c: F.col(c) for c in ("uploader", "video_date", "ext")})
     steps = [
         ("original_filename", lambda: naming.original_filename(F.col("uploader"), F.col("video_date"), F.col("ext"))),
         ("watermarked", lambda: clips.watermark_target(F.col("original_filename"))),
         ("date_seconds", lambda: naming.seconds_of(F.col("video_date"))),
     ]
-    return ledger.merge_forward(info, steps)
+    return ledger.merge_forward(info, steps).withColumn("errors", F.array_join("errors", ","))
 
 
 # ---------------------------------------------------------------- pages and texts
@@ -622,6 +637,30 @@ def clip_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clips.merge_clip_lists(rows, fresh).drop("name")
 
 
+@query(
+    "SELECT media_id, '{' || string_agg('\"clip_' || clip_no || '\":[{\"start\":' || CAST(start_s AS VARCHAR) || ',\"text\":' || CAST(to_json(coalesce(text, '')) AS VARCHAR) || ',\"end\":' || CAST(end_s AS VARCHAR) || '}]', ',' ORDER BY clip_no) || '}' AS clips "
+    f"FROM {_CLIP_ROWS} GROUP BY media_id"
+)
+def clip_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    timed = _segments(spark, sf_dir).filter("start_s is not null and end_s is not null")
+    return clips.clip_lists(timed, "media_id", ["seg_idx", "text"])
+
+
+_SAID = "CASE WHEN clip_no % 3 = 0 THEN 'said' WHEN clip_no % 3 = 1 THEN '' END"
+
+
+@query(
+    "SELECT media_id, clip_no, 'out/' || media_id || '/clips/c' || clip_no || '.mp4' AS output, "
+    "'ffmpeg -i in/' || media_id || '.webm -ss ' || CAST(start_s AS VARCHAR) || ' -to ' || CAST(end_s AS VARCHAR) || ' -vn out/' || media_id || '/clips/c' || clip_no || '.wav' AS audio_command, "
+    "'ffmpeg -i in/' || media_id || '.webm -ss ' || CAST(start_s AS VARCHAR) || ' -to ' || CAST(end_s AS VARCHAR) || ' -c:v libx264 -c:a aac out/' || media_id || '/clips/c' || clip_no || '.mp4' AS command, "
+    f"CASE WHEN clip_no % 3 = 0 THEN 'said' ELSE text END AS text, coalesce({_SAID}, '') AS paragraph FROM {_CLIP_ROWS}"
+)
+def clip_captioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = _clips(spark, sf_dir).withColumns({"name": F.concat(F.lit("c"), "clip_no"), "said": F.expr(_SAID)})
+    plan = clips.captioned_plan(named, "said")
+    return plan.select("media_id", "clip_no", "output", F.array_join("audio_argv", " ").alias("audio_command"), F.array_join("argv", " ").alias("command"), "text", "paragraph")
+
+
 # ---------------------------------------------------------------- notes
 
 # Note names from C upwards, and the lengths, as the operators must have them.

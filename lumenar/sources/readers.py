@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenar.sources.connectors import Connector, apply_connector, drive_archives
+from lumenar.sources.connectors import Connector, PageFetcher, apply_connector, drive_archives, with_retries
 
 CLIP_TYPE = "array<struct<name:string,start:double,end:double,text:string>>"
 
@@ -100,21 +100,29 @@ def tar_members(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, _MEMBERS)
 
 
-def fetched_archives(df: DataFrame, url: str, make: Callable[[], Connector]) -> DataFrame:
+def fetched_archives(df: DataFrame, url: str, make: Callable[[], Connector], attempts: int = 1, strict: bool = True) -> DataFrame:
     """``archive, member, size, content`` of shared-drive archives.
 
     ``make`` gives a downloader that is called with a file's id and returns the path it stored it
-    under; a failed download gives no rows, an address of another host is an error.
+    under; an archive is stored and read by one task, so no other machine needs its file. An address
+    of another host, and where ``strict`` a failed download, is an error; else it gives no rows.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        downloader = make()
         for batch in batches:
-            for path in batch["path"]:
-                with open(path, "rb") as f:
-                    yield _members(path, f.read())
+            for file_id in batch["file_id"]:
+                path = with_retries(downloader.call, file_id, attempts, strict=strict)
+                if path is not None:
+                    with open(path, "rb") as f:
+                        yield _members(path, f.read())
 
-    stored = apply_connector(drive_archives(df, url), "file_id", "path", make)
-    return stored.filter("path is not null").select("path").mapInPandas(run, _MEMBERS)
+    return drive_archives(df, url, strict).select("file_id").mapInPandas(run, _MEMBERS)
+
+
+def fetched_pages(df: DataFrame, url: str, make: Callable[[], Connector] = PageFetcher, out: str = "html") -> DataFrame:
+    """Add ``out``: each page's HTML; null where it has another status than 200 or can't be reached."""
+    return apply_connector(df, url, out, make)
 
 
 def url_batch(spark: SparkSession, path: str) -> DataFrame:

@@ -75,6 +75,36 @@ def clip_document(clips: DataFrame, name: str = "name", order: str = "pos") -> D
     return lists.select(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct(name, "clips"))))).alias("body"))
 
 
+def merge_clip_file(path: str, clips: dict) -> None:
+    """The clip lists of a YAML file with ``clips`` laid over them by name, written back in order.
+
+    Without a YAML library the file must hold JSON, which YAML readers read as well; other text is a ValueError.
+    """
+    try:
+        import yaml
+    except ImportError:
+        yaml = None
+    target = Path(path)
+    text = target.read_text(encoding="utf-8") if target.exists() else ""
+    held = (yaml.safe_load(text) if yaml else json.loads(text) if text.strip() else None) or {}
+    held.update(clips)
+    made = yaml.dump(held, default_flow_style=False, sort_keys=False, allow_unicode=True) if yaml else json.dumps(held, ensure_ascii=False, indent=2)
+    target.parent.mkdir(parents=True, exist_ok=True)
+    part = target.with_name(f".{target.name}.part")
+    part.write_text(made, encoding="utf-8")
+    os.replace(part, target)
+
+
+def save_clip_files(df: DataFrame, path: str, body: str) -> None:
+    """Merges each row's clip lists (JSON text) into the file it names; a file belongs to one row."""
+
+    def write(rows) -> None:  # noqa: ANN001
+        for row in rows:
+            merge_clip_file(row[path], json.loads(row[body]))
+
+    df.select(path, body).filter(F.col(path).isNotNull() & F.col(body).isNotNull()).foreachPartition(write)
+
+
 def transcripts_map(df: DataFrame, path: str, text: str) -> DataFrame:
     """One JSON object of texts by path: a single value, for sets that fit in one file."""
     return df.select(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct(path, text))))).alias("transcripts"))

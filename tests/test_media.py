@@ -2,8 +2,10 @@ import io
 import json
 import math
 import struct
+import sys
 import tarfile
 import wave
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -245,6 +247,109 @@ def test_connectors(spark):
         connectors.drive_archives(links, "u").collect()
 
 
+@pytest.fixture
+def server(tmp_path):
+    """A local server: /page.html, /latin.html, /0123456789ab (a tar file); anything else is 404."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    packed = io.BytesIO()
+    with tarfile.open(fileobj=packed, mode="w:gz") as t:
+        t.addfile(_member("hello.txt", 11), io.BytesIO(b"hello world"))
+    known = {"/page.html": ("text/html; charset=utf-8", "<p>é</p>".encode()), "/latin.html": ("text/html; charset=latin-1", b"<p>\xe9</p>"), "/0123456789ab": ("application/x-tar", packed.getvalue())}
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            kind, body = known.get(self.path, ("", b""))
+            self.send_response(200 if kind else 404)
+            self.send_header("Content-Type", kind or "text/plain")
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *args):
+            pass
+
+    running = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=running.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{running.server_port}"
+    running.shutdown()
+
+
+def _member(name, size):
+    member = tarfile.TarInfo(name)
+    member.size = size
+    return member
+
+
+def test_pages_and_archives_over_http(spark, tmp_path, server):
+    fetch = connectors.PageFetcher(5)
+    assert [fetch.call(server + x) for x in ("/page.html", "/latin.html", "/none")] == ["<p>é</p>", "<p>é</p>", None]
+    df = spark.createDataFrame([(server + "/page.html",), (server + "/none",), (None,)], "url string")
+    assert [r.html for r in readers.fetched_pages(df, "url").collect()] == ["<p>é</p>", None, None]
+    folder, address = str(tmp_path / "archives"), server + "/{}"
+    with pytest.raises(RuntimeError, match="404"):
+        connectors.ArchiveDownloader(folder, address).call("missing-file-id")
+    assert list((tmp_path / "archives").iterdir()) == []
+    links = spark.createDataFrame([(f"https://drive.google.com/file/d/{i}/view",) for i in ("0123456789ab", "missing-file-id")], "u string")
+    make = lambda: connectors.ArchiveDownloader(folder, address)
+    assert [(r.member, bytes(r.content)) for r in readers.fetched_archives(links.limit(1), "u", make).collect()] == [("hello.txt", b"hello world")]
+    assert readers.fetched_archives(links, "u", make, strict=False).count() == 1
+    with pytest.raises(Exception, match="download failed with status 404"):
+        readers.fetched_archives(links, "u", make).collect()
+
+
+def test_external_programs(tmp_path):
+    def program(name, body):
+        path = tmp_path / name
+        path.write_text(f"#!{sys.executable}\nimport sys\n{body}\n")
+        path.chmod(0o755)
+        return str(path)
+
+    good, bad = program("good", "print('{\"id\": \"' + sys.argv[-1] + '\"}')"), program("bad", "sys.exit(3)")
+    (tmp_path / "jar").write_text("")
+    shown = program("shown", "import json; print(json.dumps({'argv': sys.argv[1:]}))")
+    assert json.loads(connectors.InfoExtractor((good,)).call("u1")) == {"id": "u1"}
+    assert json.loads(connectors.InfoExtractor((shown,), str(tmp_path / "jar")).call("u"))["argv"] == ["--cookies", str(tmp_path / "jar"), "u"]
+    assert [connectors.InfoExtractor((x,)).call("u") for x in (bad, str(tmp_path / "none"))] == ["{}", "{}"]
+    store = program("store", "open(sys.argv[sys.argv.index('-o') + 1], 'w').write(' '.join(sys.argv[3:]))")
+    target = str(tmp_path / "m.mp4")
+    assert connectors.Downloader((store,)).call(json.dumps({"url": "u", "original_filename": target, "video_download": {"format": "best", "cookie_path": "c"}})) == target
+    assert Path(target).read_text() == "-f best --cookies c --no-playlist u"
+    wanted = json.dumps({"url": "u", "original_filename": target})
+    assert [connectors.Downloader((x,)).call(g) for x, g in ((bad, wanted), (store, "{}"), (store, "no json"), (store, "[]"))] == [None] * 4
+    assert connectors.Encoder().call(json.dumps([good, "out.mp4"])) == "out.mp4" and connectors.Encoder().call(json.dumps([bad, "x"])) is None
+
+
+def test_recognisers(spark):
+    class Deaf(connectors.Recogniser):
+        def call(self, given):
+            if given == "broken":
+                raise ValueError
+            return None if given == "quiet" else "said"
+
+    df = spark.createDataFrame([("a",), ("broken",), ("quiet",), (None,)], "p string")
+    assert [r.t for r in connectors.recognised_text(df, "p", "t", Deaf).collect()] == ["said", "", "", None]
+    with pytest.raises(RuntimeError, match="whisper package not available"):
+        connectors.LocalRecogniser()
+
+
+def test_clip_files_are_merged(spark, tmp_path):
+    first, second = {"clip_1": [{"start": 1.0, "text": "a"}], "clip_2": [{"start": 2.0, "text": ""}]}, {"clip_2": [{"start": 9.0, "text": "b", "end": 10.0}], "clip_3": []}
+    path = str(tmp_path / "deep" / "clips.yaml")
+    for body in (first, second):
+        sinks.save_clip_files(spark.createDataFrame([(path, json.dumps(body)), (None, "{}"), ("x", None)], "path string, body string"), "path", "body")
+    held = next(iter(readers.clip_files(spark, path).collect())).clips if _has_yaml() else json.loads(Path(path).read_text())
+    assert held == first | second if not _has_yaml() else len(held) == 2
+    listed = clips.clip_lists(spark.createDataFrame([("m", 5.0, None, None), ("m", 1.0, 2.0, "x")], "media string, start_s double, end_s double, text string"), "media", ["start_s"]).first()
+    assert json.loads(listed.clips) == {"clip_1": [{"start": 1.0, "text": "x", "end": 2.0}], "clip_2": [{"start": 5.0, "text": ""}]}
+
+
+def _has_yaml():
+    from importlib.util import find_spec
+
+    return find_spec("yaml") is not None
+
+
 def test_streams(spark, tmp_path):
     rows = spark.createDataFrame([("2024-01-01 00:00:10", "a", 1.0, 7), ("2024-01-01 00:00:50", "a", 2.0, 7), ("2024-01-01 00:05:00", "b", 3.0, 7), ("2024-01-01 02:00:00", "b", 4.0, 7)], "ts string, event_type string, value double, user_id long").selectExpr("cast(ts as timestamp_ntz) ts", "event_type", "value", "user_id")
     rows.write.parquet(str(tmp_path / "in"))
