@@ -77,7 +77,7 @@ def read_confusables(data: bytes) -> dict[str, str]:
 def look_alike_table() -> tuple[tuple[str, str], ...]:
     """Letters and the ASCII letter each looks like: ``LOOKALIKES``, then the public data where Spark's library is found.
 
-    Of the data, letters (and single signs drawn as letters) outside Latin-1 count that are written from left to right and not composed. They take I and l
+    Of the data, letters (and single signs drawn as letters) outside Latin-1 count that are not written from right to left and not composed. They take I and l
     for one letter; capitals among them become I.
     """
     table = dict(LOOKALIKES)
@@ -89,7 +89,7 @@ def look_alike_table() -> tuple[tuple[str, str], ...]:
         for char, other in found.items():
             kind = unicodedata.category(char)
             if other.isascii() and other.isalpha() and len(other) == 1 and char > "\xff" and (kind[0] == "L" or kind == "So"):
-                if not unicodedata.decomposition(char) and unicodedata.bidirectional(char) == "L":
+                if not unicodedata.decomposition(char) and unicodedata.bidirectional(char) not in ("R", "AL"):
                     table.setdefault(char, "I" if other == "l" and kind == "Lu" else other)
     return tuple(sorted(table.items()))
 

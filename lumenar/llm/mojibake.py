@@ -19,6 +19,7 @@ UTF-8, which only reads one way; U+FFFD is restored to the best attested word th
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,9 +30,12 @@ from pyspark.sql import functions as F
 from lumenar.session import cut_lineage
 
 SINGLE_BYTE = ("cp1252", "latin-1", "cp1250", "cp1251", "cp1253", "mac_roman", "cp437", "cp850", "cp866", "koi8-r", "iso8859-2")
-WRITTEN_IN = ("cp1252", "mac_roman", "cp437", "cp850")
-REREAD_AS_UTF8 = ("cp1252",)
-TWICE = ("cp1252", "latin-1", "mac_roman", "cp850")
+#: Every single-byte encoding read as every other and as UTF-8; UTF-8 read as each, once, and again as each.
+CHAINS = (
+    *((a, b) for a in SINGLE_BYTE for b in (*SINGLE_BYTE, "utf-8") if a != b),
+    *(("utf-8", a) for a in SINGLE_BYTE),
+    *(("utf-8", a, "utf-8", b) for a in SINGLE_BYTE for b in SINGLE_BYTE),
+)
 #: A re-read single-byte form is believed where the original is this many times as frequent.
 MIN_RATIO = 2.0
 
@@ -65,28 +69,74 @@ def write_in(text: str, codec: str) -> bytes | None:
         return None
 
 
-def garbled_forms(word: str) -> dict[str, bool]:
-    """All garbled forms of a word; True where the chain starts from UTF-8, so that it reads back one way only."""
+def garble(text: str, chain: tuple[str, ...]) -> str | None:
+    """``text`` written and read by turns as the chain says; None where it can't be written so.
+
+    Single bytes that happen to be valid UTF-8 are a repair and not a garbling, so reading them as UTF-8 must fail somewhere.
+    """
+    for written, read in zip(chain[::2], chain[1::2]):
+        try:
+            data = text.encode("utf-8") if written == "utf-8" else write_in(text, written)
+        except UnicodeEncodeError:
+            return None
+        if data is None:
+            return None
+        text = data.decode("utf-8", "replace") if read == "utf-8" else read_as(data, read)
+        if read == "utf-8" and "\ufffd" not in text:
+            return None
+    return text
+
+
+@lru_cache(maxsize=8)
+def _signs(alphabet: str) -> frozenset[str]:
+    return frozenset(alphabet)
+
+
+@lru_cache(maxsize=100_000)
+def _sign_forms(sign: str, alphabet: str | None) -> dict[int, str]:
+    """Form of one character by number of chain, where its signs are in the alphabet (if one is given)."""
+    forms = {k: garble(sign, chain) for k, chain in enumerate(CHAINS) if k not in _REREAD}
+    return {k: f for k, f in forms.items() if f is not None and (alphabet is None or all(c < "\x80" or c in _signs(alphabet) for c in f))}
+
+
+@lru_cache(maxsize=100_000)
+def _run_forms(run: str, alphabet: str | None) -> dict[int, str]:
+    """The same of a sequence outside ASCII; all chains but those read as UTF-8 go character by character."""
+    first, *rest = [_sign_forms(c, alphabet) for c in run]
+    for more in rest:
+        first = {k: f + more[k] for k, f in first.items() if k in more}
+    if alphabet is None or "\ufffd" in _signs(alphabet):
+        again = {k: garble(run, CHAINS[k]) for k in _REREAD}
+        first = first | {k: f for k, f in again.items() if f is not None and (alphabet is None or all(c < "\x80" or c in _signs(alphabet) for c in f))}
+    return first
+
+
+_REREAD = frozenset(k for k, chain in enumerate(CHAINS) if chain[1] == "utf-8")
+_ONE_WAY = frozenset(k for k, chain in enumerate(CHAINS) if chain[0] == "utf-8")
+_PIECES = re.compile("([\x80-\U0010ffff]+)")
+
+
+def garbled_forms(word: str, alphabet: str | None = None) -> dict[str, bool]:
+    """All garbled forms of a word; True where the chain starts from UTF-8, so that it reads back one way only.
+
+    All chains keep ASCII, so a word's form is put together from those of its sequences outside ASCII.
+    """
+    pieces = _PIECES.split(word)
+    runs = [_run_forms(r, alphabet) for r in pieces[1::2]]
     out: dict[str, bool] = {}
-    try:
-        utf8 = word.encode("utf-8")
-    except UnicodeEncodeError:
+    if not runs:
         return out
-    for codec in WRITTEN_IN:
-        data = write_in(word, codec)
-        if data is not None:
-            for other in SINGLE_BYTE:
-                if other != codec:
-                    out.setdefault(read_as(data, other), False)
-            if codec in REREAD_AS_UTF8:
-                out.setdefault(data.decode("utf-8", "replace"), False)
-    for codec in SINGLE_BYTE:
-        once = read_as(utf8, codec)
-        out[once] = True
-        if codec in TWICE:
-            again = once.encode("utf-8")
-            for other in TWICE:
-                out[read_as(again, other)] = True
+    for k, first in runs[0].items():
+        if len(runs) == 1:
+            form = f"{pieces[0]}{first}{pieces[2]}"
+        elif all(k in r for r in runs):
+            form = "".join([r if i % 2 == 0 else runs[i // 2][k] for i, r in enumerate(pieces)])
+        else:
+            continue
+        if k in _ONE_WAY:
+            out[form] = True
+        else:
+            out.setdefault(form, False)
     out.pop(word, None)
     return out
 
@@ -95,14 +145,14 @@ def _cases(word: str) -> set[str]:
     return {word, word.upper(), word[:1].upper() + word[1:]}
 
 
-def _form_batches(utf8_only: bool):
+def _form_batches(utf8_only: bool, alphabet: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple[str, str, bool, float, float]] = []
             for word, n, texts in zip(*[c.to_pylist() for c in batch.columns]):
                 for variant in {word} if utf8_only else _cases(word):
                     weight, rows_of = (float(texts), float(n)) if variant == word else (0.5, 0.5)
-                    for form, one_way in garbled_forms(variant).items():
+                    for form, one_way in garbled_forms(variant, alphabet).items():
                         if one_way and len(form) > 1 or not utf8_only:
                             rows.append((form, variant, one_way, weight, rows_of))
             yield pa.RecordBatch.from_arrays(
@@ -113,9 +163,9 @@ def _form_batches(utf8_only: bool):
     return run
 
 
-def _best_originals(words: DataFrame, utf8_only: bool) -> DataFrame:
+def _best_originals(words: DataFrame, utf8_only: bool, alphabet: str) -> DataFrame:
     """``form, original`` for every corpus word (or sequence) that is a garbled form of a better attested one."""
-    forms = words.select("word", "n", "n_texts").mapInArrow(_form_batches(utf8_only), "form string, original string, one_way boolean, weight double, rows double")
+    forms = words.select("word", "n", "n_texts").mapInArrow(_form_batches(utf8_only, alphabet), "form string, original string, one_way boolean, weight double, rows double")
     seen = words.select(F.col("word").alias("form"), F.col("n").alias("n_form"), F.col("n_texts").alias("texts_form"))
     attested = (F.col("weight") > F.col("texts_form")) | (F.col("rows") > F.col("n_form"))
     by_texts, against = F.col("weight") >= MIN_RATIO * F.col("texts_form"), F.col("texts_form") >= MIN_RATIO * F.col("weight")
@@ -136,9 +186,12 @@ def corpus_words(documents: DataFrame, text: str = "text") -> DataFrame:
 def garbled_words(documents: DataFrame, text: str = "text") -> DataFrame:
     """``word, original`` for the garbled words of the corpus."""
     words = cut_lineage(corpus_words(documents, text))
-    by_word = _best_originals(words, utf8_only=False).withColumnRenamed("form", "word")
+    # a form with a sign that no word has can't be a word: at most one row per sign of Unicode
+    signs = words.select(F.explode(F.split(F.regexp_replace("word", "[\\x00-\\x7f]+", ""), "")).alias("sign")).distinct().collect()
+    alphabet = "".join(sorted(r.sign for r in signs))
+    by_word = _best_originals(words, utf8_only=False, alphabet=alphabet).withColumnRenamed("form", "word")
     runs = words.select(F.explode(F.regexp_extract_all("word", F.lit(RUN), F.lit(0))).alias("word"), "n", "n_texts").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_texts").alias("n_texts"))
-    by_run = _best_originals(runs, utf8_only=True)
+    by_run = _best_originals(runs, utf8_only=True, alphabet=alphabet)
     # put the pieces of each word together again, with the restored sequences in place
     pieces = words.join(by_word, "word", "left_anti").select("word", F.posexplode(F.regexp_extract_all("word", F.lit(rf"[{_HIGH}]+|[0-9A-Za-z]+"), F.lit(0))).alias("at", "form"))
     mended = (
@@ -165,8 +218,6 @@ def garbled_documents(documents: DataFrame, key: str = "doc_id", text: str = "te
 
 
 def _mend_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import re
-
     word = re.compile("[0-9A-Za-z\x80-\U0010ffff]*[\x80-\U0010ffff][0-9A-Za-z\x80-\U0010ffff]*")
     for batch in batches:
         texts = []

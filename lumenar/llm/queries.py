@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -143,6 +145,16 @@ m AS (SELECT s FROM w GROUP BY s HAVING count(*) > 1)
 SELECT DISTINCT a.run_id AS run_a, b.run_id AS run_b FROM w a JOIN m ON a.s = m.s JOIN w b ON a.s = b.s WHERE a.run_id < b.run_id"""
 
 
+# how much of each run lies in windows that another run holds too
+_SPAN_SHARES = """WITH t AS (SELECT run_id, full_transcript, plain_text FROM transcribe_runs QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY ingested_at DESC NULLS LAST, full_transcript DESC NULLS LAST, plain_text DESC NULLS LAST) = 1),
+f AS (SELECT run_id, 0 AS fld, full_transcript AS txt FROM t UNION ALL SELECT run_id, 1, plain_text FROM t),
+w AS (SELECT run_id, fld, i, substr(txt, CAST(i AS INT), 200) AS s FROM (SELECT run_id, fld, txt, unnest(range(1, length(txt) - 198)) AS i FROM f WHERE length(txt) >= 200)),
+m AS (SELECT s FROM w GROUP BY s HAVING min(run_id) < max(run_id)),
+c AS (SELECT run_id, sum(least(200, coalesce(upto - i, 200))) AS shared FROM (SELECT run_id, i, lead(i) OVER (PARTITION BY run_id, fld ORDER BY i) AS upto FROM w JOIN m USING (s)) GROUP BY run_id),
+n AS (SELECT run_id, CAST(coalesce(length(full_transcript), 0) + coalesce(length(plain_text), 0) AS BIGINT) AS n_chars FROM t)
+SELECT run_id, n_chars, CAST(coalesce(shared, 0) AS BIGINT) AS shared_chars, CASE WHEN n_chars > 0 THEN coalesce(shared, 0) / n_chars ELSE 0.0 END AS shared_share FROM n LEFT JOIN c USING (run_id)"""
+
+
 # Letters of other alphabets, each before the letter it looks like.
 _ALIKE = (
     "аaеeоoрpсcуyхxіiѕsјjһhԁdԛqԝwАAВBЕEКKМMНHОOРPСCТTХXІIЅSЈJҮYԚQԜW"
@@ -152,17 +164,26 @@ _ALIKE = (
 )
 
 
-def _same_reading_sql() -> str:
-    """Characters mapped one to one, invisible ones removed, accents composed: enough for the signs of these texts."""
+def _canonical_sql() -> str:
+    """Canonical form of ``t``: characters mapped one to one, invisible ones removed, accents composed; enough for the signs of these texts."""
     table = dict(zip(_ALIKE[::2], _ALIKE[1::2]))
     table |= {chr(c + 0xFEE0): chr(c) for c in range(0x21, 0x7F)}
     table |= dict(zip("ⅰⅴⅹⅼⅽⅾⅿⅠⅤⅩⅬⅭⅮⅯ", "ivxlcdmIVXLCDM"))
     table |= dict.fromkeys("\xa0\u2002\u2003\u2005\u2007\u2009\u202f\u3000", " ") | {"ό": "ó"}
     quote = lambda x: x.replace("'", "''")
     given, made = quote("".join(table)), quote("".join(table.values()))
-    canon = f"nfc_normalize(translate(regexp_replace(t, '[\\x{{ad}}\\x{{200b}}-\\x{{200d}}\\x{{2060}}\\x{{feff}}]', '', 'g'), '{given}', '{made}'))"
+    return f"nfc_normalize(translate(regexp_replace(t, '[\\x{{ad}}\\x{{200b}}-\\x{{200d}}\\x{{2060}}\\x{{feff}}]', '', 'g'), '{given}', '{made}'))"
+
+
+def _same_reading_sql() -> str:
+    canon = _canonical_sql()
     parts = " UNION ".join(f"SELECT post_id, '{x}' AS content_lang, content.{x} AS t FROM posts WHERE trim(content.{x}) <> ''" for x in ("spanish", "portuguese"))
     return f"WITH c AS (SELECT post_id, content_lang, t, {canon} AS k FROM ({parts})) SELECT DISTINCT a.post_id AS post_a, b.post_id AS post_b, a.content_lang FROM c a JOIN c b ON a.k = b.k AND a.content_lang = b.content_lang WHERE a.post_id < b.post_id AND a.t <> b.t"
 
 
-ORACLES: dict[str, str] = {"p2_found": _same_reading_sql(), "p4_found": _SPAN_PAIRS}
+_CANONICAL_TEXTS = (
+    f"WITH l AS (SELECT post_id, content.spanish AS spanish, content.portuguese AS portuguese FROM posts QUALIFY row_number() OVER (PARTITION BY post_id ORDER BY ingested_at DESC NULLS LAST, content.spanish DESC NULLS LAST, content.portuguese DESC NULLS LAST) = 1) "
+    f"SELECT post_id, {re.sub('\\bt\\b(?=,)', 'spanish', _canonical_sql(), count=1)} AS spanish_canonical, {re.sub('\\bt\\b(?=,)', 'portuguese', _canonical_sql(), count=1)} AS portuguese_canonical FROM l"
+)
+
+ORACLES: dict[str, str] = {"p2_found": _same_reading_sql(), "p2_canonical": _CANONICAL_TEXTS, "p4_found": _SPAN_PAIRS, "p4_shared": _SPAN_SHARES}

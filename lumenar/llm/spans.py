@@ -27,6 +27,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -70,14 +71,15 @@ def _hash(text: str, seed: int) -> int:
 def runs(text: str, least: int) -> list[tuple[int, int]]:
     """From each sentence start the shortest run of several sentences that reaches the least length."""
     at = [0, *[m.end() for m in _SENTENCE_END.finditer(text)], len(text)]
+    ends = [0, *[a + len(text[a:b].rstrip()) for a, b in zip(at, at[1:])]]  # of the sentences before each place, without blanks
     out, k = [], 0
-    for i in range(len(at) - 1):
+    for i, start in enumerate(at[:-1]):
         k = max(k, i + SEVERAL)
-        while k < len(at) and len(text[at[i] : at[k]].rstrip()) < least:
+        while k < len(at) and ends[k] - start < least:
             k += 1
         if k >= len(at):
             break
-        out.append((at[i], at[i] + len(text[at[i] : at[k]].rstrip())))
+        out.append((start, ends[k]))
     return out
 
 
@@ -90,20 +92,32 @@ def _anchor_batches(half: int, n_fields: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            rows: list[tuple] = []
+            keys, checks, recs, fields, places, sides, sizes = columns = [], [], [], [], [], [], []
             for f in range(n_fields):
                 for rid, text in zip(ids, batch.column(1 + f).to_pylist()):
                     if not text or len(text) < 2 * half:
                         continue
+                    found = len(keys)
                     for a, b in runs(text, 2 * half):
                         whole = xxhash.xxh3_128_intdigest(text[a:b].encode("utf-8", "surrogatepass"))
-                        rows.append(((whole >> 64) - (1 << 63), (whole & (1 << 64) - 1) - (1 << 63), rid, f, a, RUN, b - a))
+                        keys.append((whole >> 64) - (1 << 63))
+                        checks.append((whole & (1 << 64) - 1) - (1 << 63))
+                        places.append(a)
+                        sizes.append(b - a)
+                    sides += [RUN] * (len(keys) - found)
                     for at in starts(text, 2 * half):
                         if at >= half:
-                            rows.append((_hash(text[at - half : at], 0), 0, rid, f, at, 0, 0))
+                            keys.append(_hash(text[at - half : at], 0))
+                            places.append(at)
+                            sides.append(0)
                         if at + half <= len(text):
-                            rows.append((_hash(text[at : at + half], 1), 0, rid, f, at, 1, 0))
-            columns = zip(*rows) if rows else [[]] * 7
+                            keys.append(_hash(text[at : at + half], 1))
+                            places.append(at)
+                            sides.append(1)
+                    recs += [rid] * (len(keys) - found)
+                    fields += [f] * (len(keys) - found)
+                    checks += [0] * (len(keys) - len(checks))
+                    sizes += [0] * (len(keys) - len(sizes))
             types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["key", "check", "rid", "field", "at", "side", "size"])
 
@@ -187,19 +201,20 @@ class Shared:
 
     ``spans`` has ``rid_a, field_a, from_a, to_a, rid_b, field_b, from_b, to_b`` with rid_a < rid_b.
     ``links`` has ``cls_a, cls_b, l, r``: the places of both classes (or of one, if they are the same) share
-    ``l`` characters before and ``r`` behind. ``members`` has ``cls, rid, field, at``.
+    ``l`` characters before and ``r`` behind. ``members`` has ``cls, rid, field, at``. None stands for no rows.
     """
 
-    spans: DataFrame
-    links: DataFrame
-    members: DataFrame
+    spans: DataFrame | None
+    links: DataFrame | None
+    members: DataFrame | None
 
     def cache(self) -> Shared:
-        return Shared(self.spans.cache(), self.links.cache(), self.members.cache())
+        return Shared(*[None if part is None else part.cache() for part in (self.spans, self.links, self.members)])
 
     def unpersist(self) -> None:
         for part in (self.spans, self.links, self.members):
-            part.unpersist()
+            if part is not None:
+                part.unpersist()
 
 
 @dataclass
@@ -226,14 +241,7 @@ def repeated_runs(hashed: Anchors) -> Shared:
     cls = F.struct("key", "check").alias("cls")
     members = cut_lineage(found.join(common.select("key", "check"), ["key", "check"]).select(cls, "rid", "field", "at", "size"))
     links = members.groupBy("cls").agg(F.max("size").alias("r")).select(F.col("cls").alias("cls_a"), F.col("cls").alias("cls_b"), F.lit(0).alias("l"), "r")
-    return Shared(_no_spans(members), links, members.drop("size"))
-
-
-_SPAN = "rid_a bigint, field_a int, from_a int, to_a int, rid_b bigint, field_b int, from_b int, to_b int"
-
-
-def _no_spans(df: DataFrame) -> DataFrame:
-    return df.sparkSession.createDataFrame([], _SPAN)
+    return Shared(None, links, members.drop("size"))
 
 
 def exact_spans(hashed: Anchors, known: DataFrame | None = None) -> Shared:
@@ -268,8 +276,11 @@ def exact_spans(hashed: Anchors, known: DataFrame | None = None) -> Shared:
         "rid_b", "field_b", (F.col("at_b") - F.col("l")).alias("from_b"), (F.col("at_b") + F.col("r")).alias("to_b"),
     )
 
+    hot = windows.filter(F.col("n") > HOT)
+    if hot.isEmpty():  # then there are no classes, and no need to plan for them
+        return Shared(spans, None, None)
     # a class is named by 128 bits of what its members have in common
-    hot = windows.filter(F.col("n") > HOT).withColumn("cls", F.struct(F.xxhash64("key", "left", "right").alias("key"), F.xxhash64(F.lit(7), "right", "left", "key").alias("check")))
+    hot = hot.withColumn("cls", F.struct(F.xxhash64("key", "left", "right").alias("key"), F.xxhash64(F.lit(7), "right", "left", "key").alias("check")))
     classes = hot.groupBy("cls").agg(*[F.first(c).alias(c) for c in ("key", "side", "left", "right")], F.min("rid").alias("x"), F.max("rid").alias("y"))
     subs = classes.select("key", "side", "cls", "left", "right").mapInArrow(_class_batches(least), "sub bigint, cls struct<key:bigint,check:bigint>")
     lively = subs.groupBy("sub").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).filter("x <> y").select("sub")
@@ -297,6 +308,8 @@ def span_pairs(shared: Shared) -> DataFrame:
     Many classes hold the same records (one for each sentence of a copied text), so classes are
     paired once per set of records: equal count, sum and xor of hashes stand for an equal set.
     """
+    if shared.links is None:
+        return shared.spans.select("rid_a", "rid_b").distinct()
     rids = shared.members.select("cls", "rid").distinct()
     hashed = F.xxhash64("rid").cast("decimal(20,0)")
     sets = rids.groupBy("cls").agg(F.struct(F.count("*").alias("n"), F.sum(hashed).alias("sum"), F.bit_xor(F.xxhash64(F.lit(7), "rid")).alias("xor")).alias("set"))
@@ -307,7 +320,7 @@ def span_pairs(shared: Shared) -> DataFrame:
     both = links.join(rids.withColumnsRenamed({"cls": "a", "rid": "rid_a"}), "a").join(rids.withColumnsRenamed({"cls": "b", "rid": "rid_b"}), "b")
     # a class with itself: each pair once; two classes: either may have the smaller record
     ordered = both.filter("rid_a < rid_b or (rid_a > rid_b and a <> b)").select(F.least("rid_a", "rid_b").alias("rid_a"), F.greatest("rid_a", "rid_b").alias("rid_b"))
-    return shared.spans.select("rid_a", "rid_b").unionByName(ordered).distinct()
+    return (ordered if shared.spans is None else shared.spans.select("rid_a", "rid_b").unionByName(ordered)).distinct()
 
 
 def record_pairs(records: DataFrame, key: str, fields: list[str], least: int = 200) -> DataFrame:
@@ -333,16 +346,18 @@ def covered(shared: Shared, later_only: bool = False) -> DataFrame:
     ``later_only`` keeps the first record of a shared stretch out. Classes are not expanded to pairs:
     what the places of a class share, and with which first record, holds for each of them.
     """
-    spans = shared.spans
-    sides = spans.select(F.col("rid_b").alias("rid"), F.col("field_b").alias("field"), F.col("from_b").alias("from"), F.col("to_b").alias("to"))
-    if not later_only:
-        sides = sides.unionByName(spans.select(F.col("rid_a").alias("rid"), F.col("field_a").alias("field"), F.col("from_a").alias("from"), F.col("to_a").alias("to")))
-    ends = shared.members.groupBy("cls").agg(F.min("rid").alias("first"), F.max("rid").alias("last"))
-    links = shared.links.select(F.col("cls_a").alias("cls"), F.col("cls_b").alias("other"), "l", "r")
-    links = links.unionByName(shared.links.filter("cls_a <> cls_b").select(F.col("cls_b").alias("cls"), F.col("cls_a").alias("other"), "l", "r"))
-    reach = links.join(ends.withColumnRenamed("cls", "other"), "other").groupBy("cls", "l", "r").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-    places = shared.members.join(reach, "cls").filter("first < rid" if later_only else "first <> rid or last <> rid")
-    sides = sides.unionByName(places.select("rid", "field", (F.col("at") - F.col("l")).alias("from"), (F.col("at") + F.col("r")).alias("to")))
+    parts = []
+    if (spans := shared.spans) is not None:
+        for end in "b" if later_only else "ab":
+            parts.append(spans.select(*[F.col(f"{c}_{end}").alias(c) for c in ("rid", "field", "from", "to")]))
+    if shared.links is not None:
+        ends = shared.members.groupBy("cls").agg(F.min("rid").alias("first"), F.max("rid").alias("last"))
+        links = shared.links.select(F.col("cls_a").alias("cls"), F.col("cls_b").alias("other"), "l", "r")
+        links = links.unionByName(shared.links.filter("cls_a <> cls_b").select(F.col("cls_b").alias("cls"), F.col("cls_a").alias("other"), "l", "r"))
+        reach = links.join(ends.withColumnRenamed("cls", "other"), "other").groupBy("cls", "l", "r").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+        places = shared.members.join(reach, "cls").filter("first < rid" if later_only else "first <> rid or last <> rid")
+        parts.append(places.select("rid", "field", (F.col("at") - F.col("l")).alias("from"), (F.col("at") + F.col("r")).alias("to")))
+    sides = reduce(DataFrame.unionByName, parts)
     return sides.groupBy("rid", "field").agg(F.collect_set(F.struct("from", "to")).alias("spans")).withColumn("spans", F.expr(_union("spans")))
 
 

@@ -40,7 +40,10 @@ def test_nothing_to_do(spark):
 def test_forms():
     forms = garbled_forms("ção")
     assert forms["Ã§Ã£o"] is True and forms["Á„o"] is False and "ção" not in forms
-    assert garbled_forms("abc") == {}
+    assert garbled_forms("abc") == {} and garbled_forms("can├º├úo", None).get("canção") is None
+    twice = garble(garble("coração", "utf-8", "iso8859-2"), "utf-8", "iso8859-2")
+    assert garbled_forms("coração")[twice] is True and len(garbled_forms("coração")) > 100
+    assert set(garbled_forms("coração", "Ã§£")) == {"coraÃ§Ã£o"}
 
 
 def test_a_single_sign_may_stand_for_itself(spark):
