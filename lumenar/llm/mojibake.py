@@ -172,7 +172,8 @@ def _best_originals(words: DataFrame, utf8_only: bool, alphabet: str) -> DataFra
     fits = F.when(F.col("one_way"), F.lit(True) if not utf8_only else attested).otherwise(by_texts | (~against & (F.col("rows") >= MIN_RATIO * F.col("n_form"))))
     sure = (F.col("one_way") & (F.col("weight") >= 1)).alias("sure")
     best = F.max(F.struct(sure, "weight", "rows", "one_way", F.col("original").rlike(r"\p{L}").alias("letters"), "original")).alias("best")
-    return forms.join(seen, "form").filter(fits).groupBy("form").agg(best).select("form", F.col("best.original").alias("original"))
+    # the forms are many times the words they come from, which Spark can't see: they must not be broadcast
+    return forms.join(seen.hint("shuffle_hash"), "form").filter(fits).groupBy("form").agg(best).select("form", F.col("best.original").alias("original"))
 
 
 def corpus_words(documents: DataFrame, text: str = "text") -> DataFrame:

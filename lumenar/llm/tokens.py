@@ -14,13 +14,15 @@ ordinary text; every row gives one row.
 from __future__ import annotations
 
 import base64
+import os
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -114,6 +116,12 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+def _shipped(spark: SparkSession, path: str) -> str:
+    """Name under which every worker gets the driver's vocabulary file; it is sent once."""
+    spark.sparkContext.addFile(path)
+    return os.path.basename(path)
+
+
 def encode_column(df: DataFrame, text: str = "text", out: str = "ids", path: str = DEFAULT_VOCABULARY, keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` (all but the text, if None) with ``out``, the ids of the text column."""
     return _encoded(df, text, out, path, keep, count=False)
@@ -132,8 +140,10 @@ def _encoded(df: DataFrame, text: str, out: str, path: str, keep: list[str] | No
     source = df.select(*[df[c] for c in kept], df[text].alias(slot))
     schema = T.StructType([*source.schema.fields[:-1], T.StructField(out, T.LongType() if count else T.ArrayType(T.IntegerType(), False), False)])
 
+    name = _shipped(df.sparkSession, path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = vocabulary(path)
+        words = vocabulary(SparkFiles.get(name))
         for batch in batches:
             encoded = [words.encode(t) if t else () for t in batch.column(slot).to_pylist()]
             sizes = np.array([len(e) for e in encoded], np.int64)

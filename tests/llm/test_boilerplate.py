@@ -1,3 +1,4 @@
+import os
 from datetime import datetime
 
 import pytest
@@ -119,3 +120,37 @@ def test_operator(spark):
     texts = {r.page_id: r.main_text for r in main_text(df).collect()}
     assert texts[104] == f"New\n{LONG} New 0" and texts[103] == ""
     assert content_lines(df.limit(0)).count() == 0
+
+
+TABLES = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not os.path.isdir(TABLES), reason="no test tables")
+def test_lines_of_the_tables_by_their_markup(spark):
+    """Against labels from the markup of the given pages: there an article is what lies directly in its headline's element."""
+    pages = spark.read.parquet(f"{TABLES}/page_captures.parquet").filter("raw_html is not null and plain_text is not null")
+    want = set()
+    for r in pages.collect():
+        events = page_lines(r.raw_html)
+        if len(events.lines) == len(r.plain_text.split("\n")):
+            headed = _Headline(r.raw_html).container
+            linked = {x[3] for x in events.lines if x[4] and sum(len(y[0]) for y in events.lines if y[3] == x[3] and y[4]) * 2 >= sum(len(y[0]) for y in events.lines if y[3] == x[3])}
+            want |= {(r.page_id, k) for k, x in enumerate(events.lines) if x[2] == headed and x[3] not in linked}
+    found = {(r.page_id, k) for r in content_lines(pages).collect() for k in r.line_nos}
+    hits = len(want & found)
+    assert hits / len(found) > 0.97 and hits / len(want) > 0.97, (hits, len(found), len(want))
+
+
+class _Headline(boilerplate.LineEvents):
+    """The container of a page's headline."""
+
+    def __init__(self, html):
+        super().__init__()
+        self.container = None
+        self.feed(html)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "h1" and self.container is None:
+            self.container = self._container
+        super().handle_starttag(tag, attrs)

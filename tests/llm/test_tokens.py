@@ -1,3 +1,4 @@
+import os
 import random
 
 import pytest
@@ -37,3 +38,14 @@ def test_column(spark, reference):
     assert encode_column(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         encode_column(df, out="other")
+
+
+TABLES = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not os.path.isdir(TABLES), reason="no test tables")
+def test_all_documents_of_the_tables(spark, reference):
+    docs = spark.read.parquet(f"{TABLES}/documents.parquet").select("doc_id", "text")
+    found = encode_column(docs, keep=["doc_id"]).join(docs, "doc_id").collect()
+    assert len(found) == docs.count()
+    assert [r.doc_id for r in found if list(r.ids) != (reference.encode_ordinary(r.text) if r.text else [])] == []
