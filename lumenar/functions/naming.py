@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenar.functions.text import strip
+from lumenar.session import cut_lineage
 
 # Kept metadata fields and the source keys they are read from, in order.
 METADATA_FIELDS = {
@@ -56,16 +57,23 @@ def unique_names(df: DataFrame, name: str, order: list[str], out: str = "unique_
     """Add ``out``: ``name`` for the first row that asks for it, then ``stem_1.ext``, ``stem_2.ext``, ….
 
     A numbered name that another row asks for literally, or that is in ``existing`` (a column of the
-    same name), is skipped: names never collide. A null name stays null. The numbering of one name is one window; a name asked for by a third of all rows is sorted by one
-    task, which spills and does not hold the group in memory.
+    same name), is skipped: names never collide. A null name stays null. Rows are spread by ranges of name and
+    order, written once, and numbered within their range; ranges then add up, so a name asked for by a third of
+    all rows is numbered by many tasks. Rows of one name and equal order are numbered in any order.
     """
     place, taken, limit = "__lumenar_place", "__lumenar_taken", "__lumenar_n"
-    held = "__lumenar_held"
+    held, part = "__lumenar_held", "__lumenar_part"
     given = df.withColumn(held, F.lit(False))
     if existing is not None:
         given = given.unionByName(existing.select(name).distinct().withColumn(held, F.lit(True)), allowMissingColumns=True)
-    ranked = given.withColumn(place, F.row_number().over(Window.partitionBy(name).orderBy(F.desc(held), *order)) - 1).filter(~F.col(held))
-    counts = given.groupBy(name).agg(F.count("*").alias(limit))
+    ranged = cut_lineage(given.repartitionByRange(F.col(name), F.desc(held), *[F.col(c) for c in order]).withColumn(part, F.spark_partition_id()))
+    sizes = ranged.groupBy(name, part).agg(F.count("*").alias(limit))
+    before = F.coalesce(F.sum(limit).over(Window.partitionBy(name).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(F.col(name).alias("__lumenar_of"), F.col(part).alias("__lumenar_in"), before.alias("__lumenar_before"))
+    local = ranged.withColumn(place, F.row_number().over(Window.partitionBy(name, part).orderBy(F.desc(held), *order)) - 1)
+    placed = local.join(starts, F.col(name).eqNullSafe(F.col("__lumenar_of")) & (F.col(part) == F.col("__lumenar_in")))
+    ranked = placed.withColumn(place, F.col(place) + F.col("__lumenar_before")).filter(~F.col(held))
+    counts = sizes.groupBy(name).agg(F.sum(limit).alias(limit))
     stem = F.regexp_extract(name, r"^(.*)_(\d+)(\.[^./]*)?$", 1)
     literal = (
         counts.filter(F.col(name).rlike(r"_[1-9]\d{0,8}(\.[^./]*)?$"))

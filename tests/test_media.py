@@ -33,6 +33,13 @@ def test_addresses(spark):
     assert column(spark, ["https://u:p@Host.org:80/a b?c"], urls.authority) == ["u:p@host.org:80"]
 
 
+def test_a_hot_name_is_numbered_by_many_tasks(spark):
+    rows = spark.range(3000).selectExpr("id as i", "if(id % 3 = 0, 'hot.mp4', if(id % 500 = 1, 'hot_2.mp4', concat('n', id, '.mp4'))) as n").repartition(7)
+    found = {r.i: r.unique_name for r in naming.unique_names(rows, "n", ["i"]).collect()}
+    hot = [found[i] for i in range(0, 3000, 3)]
+    assert hot == ["hot.mp4", *[f"hot_{k}.mp4" for k in range(1, 1001) if k != 2]] and len(set(found.values())) == 3000
+
+
 def test_texts(spark):
     assert column(spark, [" \xa0a ", None, "\x1cb"], text.strip) == ["a", None, "b"]
     assert column(spark, ["One. Two?  Three!four", " ", None], text.sentences) == [["One.", "Two?", "Three!four"], [], None]
