@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -164,26 +162,31 @@ _ALIKE = (
 )
 
 
-def _canonical_sql() -> str:
-    """Canonical form of ``t``: characters mapped one to one, invisible ones removed, accents composed; enough for the signs of these texts."""
+def _canonical_sql(text: str) -> str:
+    """Canonical form: characters mapped one to one, invisible ones removed (joined emoji stay), accents composed; enough for the signs of these texts."""
     table = dict(zip(_ALIKE[::2], _ALIKE[1::2]))
     table |= {chr(c + 0xFEE0): chr(c) for c in range(0x21, 0x7F)}
     table |= dict(zip("ⅰⅴⅹⅼⅽⅾⅿⅠⅤⅩⅬⅭⅮⅯ", "ivxlcdmIVXLCDM"))
     table |= dict.fromkeys("\xa0\u2002\u2003\u2005\u2007\u2009\u202f\u3000", " ") | {"ό": "ó"}
     quote = lambda x: x.replace("'", "''")
     given, made = quote("".join(table)), quote("".join(table.values()))
-    return f"nfc_normalize(translate(regexp_replace(t, '[\\x{{ad}}\\x{{200b}}-\\x{{200d}}\\x{{2060}}\\x{{feff}}]', '', 'g'), '{given}', '{made}'))"
+    emoji = r"[\x{2600}-\x{27bf}\x{1f000}-\x{1faff}]"
+    joined = text
+    for _ in range(2):  # a joiner's emoji may belong to the joiner before it
+        joined = f"regexp_replace({joined}, '({emoji}\\x{{fe0f}}?)\\x{{200d}}({emoji})', '\\1' || chr(1) || '\\2', 'g')"
+    bare = f"replace(regexp_replace({joined}, '[\\x{{ad}}\\x{{200b}}-\\x{{200d}}\\x{{2060}}\\x{{feff}}]', '', 'g'), chr(1), chr(8205))"
+    return f"nfc_normalize(translate({bare}, '{given}', '{made}'))"
 
 
 def _same_reading_sql() -> str:
-    canon = _canonical_sql()
+    canon = _canonical_sql("t")
     parts = " UNION ".join(f"SELECT post_id, '{x}' AS content_lang, content.{x} AS t FROM posts WHERE trim(content.{x}) <> ''" for x in ("spanish", "portuguese"))
     return f"WITH c AS (SELECT post_id, content_lang, t, {canon} AS k FROM ({parts})) SELECT DISTINCT a.post_id AS post_a, b.post_id AS post_b, a.content_lang FROM c a JOIN c b ON a.k = b.k AND a.content_lang = b.content_lang WHERE a.post_id < b.post_id AND a.t <> b.t"
 
 
 _CANONICAL_TEXTS = (
     f"WITH l AS (SELECT post_id, content.spanish AS spanish, content.portuguese AS portuguese FROM posts QUALIFY row_number() OVER (PARTITION BY post_id ORDER BY ingested_at DESC NULLS LAST, content.spanish DESC NULLS LAST, content.portuguese DESC NULLS LAST) = 1) "
-    f"SELECT post_id, {re.sub('\\bt\\b(?=,)', 'spanish', _canonical_sql(), count=1)} AS spanish_canonical, {re.sub('\\bt\\b(?=,)', 'portuguese', _canonical_sql(), count=1)} AS portuguese_canonical FROM l"
+    f"SELECT post_id, {_canonical_sql('spanish')} AS spanish_canonical, {_canonical_sql('portuguese')} AS portuguese_canonical FROM l"
 )
 
 ORACLES: dict[str, str] = {"p2_found": _same_reading_sql(), "p2_canonical": _CANONICAL_TEXTS, "p4_found": _SPAN_PAIRS, "p4_shared": _SPAN_SHARES}
