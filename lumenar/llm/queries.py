@@ -158,6 +158,8 @@ _ALIKE = (
     "аaеeоoрpсcуyхxіiѕsјjһhԁdԛqԝwАAВBЕEКKМMНHОOРPСCТTХXІIЅSЈJҮYԚQԜW"
     "οoνvϲcϳjΑAΒBΕEΖZΗHΙIΚKΜMΝNΟOΡPΤTΥYΧX"
     "ɑaɡgօoսuհhոn"
+    "αaγyιiρpσoυuгrѡwӏiѴVѵvҽeЬbӀIԌGıi"
+    "άáίíόóύúϊïϋüΆÁΈÉΊÍΌÓΎÝΫŸΪÏ"
     "‐-‑-"
 )
 
