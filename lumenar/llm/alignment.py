@@ -15,8 +15,9 @@ Documents are worked on many at a time, in flat arrays: words that explain each
 an inverted index of each document's words, never as a matrix of all words against all. Pairs that
 are the best of both their sentences don't depend on each other, so they are accepted together.
 
-Tables and word weights of up to ``BROADCAST_ROWS`` rows are broadcast. Larger ones are joined:
-each document then carries the rows of its own words.
+Tables and word weights of up to ``BROADCAST_ROWS`` rows are broadcast, in pieces that the executors
+pack, so that the driver holds one piece at a time. Larger ones are joined: each document then
+carries the rows of its own words.
 
 Defined results: a document without one of its texts gives nothing; repeated sentences link in
 order of position; sentences without words link to none; of several deliveries the latest counts.
@@ -24,6 +25,7 @@ order of position; sentences without words link to none; of several deliveries t
 
 from __future__ import annotations
 
+import pickle
 import re
 import unicodedata
 from array import array
@@ -35,6 +37,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,8 +53,9 @@ MIN_PROBABILITY = 0.02
 MIN_TOGETHER = 0.3
 #: EM steps on the first sentence pairs, and on the pairs the tables then link.
 FIRST_STEPS, LINKED_STEPS = 3, 1
-#: Rows of tables and weights up to which they are broadcast (some 30 bytes each).
+#: Rows of tables and weights up to which they are broadcast (some 24 bytes each), and rows of a piece of them.
 BROADCAST_ROWS = 3_000_000
+PIECE = 250_000
 NULL_WEIGHT = 0.02
 LINK_SCORE = 0.37
 USED_MATCH = 0.25
@@ -173,6 +177,39 @@ class Lexicon:
     forward: np.ndarray  # p(target | source)
     backward: np.ndarray  # p(source | target)
 
+    def of(self, source: np.ndarray, target: np.ndarray) -> Lexicon:
+        """What concerns some source words and target keys."""
+        at, ok = _look_up(self.source, np.sort(source))
+        of_s = at[ok]
+        target = np.sort(target)
+        at, ok = _look_up(self.target, target)
+        of_t = at[ok]
+        low, high = np.searchsorted(self.pair_source, np.sort(source)), np.searchsorted(self.pair_source, np.sort(source), "right")
+        entry = _runs(low, high - low)
+        entry = entry[_look_up(target, self.pair_target[entry])[1]]
+        return Lexicon(
+            self.source[of_s], self.source_weight[of_s], self.target[of_t], self.target_weight[of_t], self.rare_weight,
+            self.pair_source[entry], self.pair_target[entry], self.forward[entry], self.backward[entry],
+        )
+
+
+@dataclass
+class Pieces:
+    """A lexicon broadcast in pieces, each with some of its rows."""
+
+    shared: list[Broadcast]
+    rare_weight: float
+
+    def of(self, source: np.ndarray, target: np.ndarray) -> Lexicon:
+        parts = [x.value.of(source, target) for x in self.shared]
+        join = lambda name, kind=np.int64: np.concatenate([np.zeros(0, kind), *(getattr(x, name) for x in parts)])
+        codes, keys, pair_source, pair_target = join("source"), join("target"), join("pair_source"), join("pair_target")
+        by_s, by_t, by = np.argsort(codes), np.argsort(keys), np.lexsort((pair_target, pair_source))
+        return Lexicon(
+            codes[by_s], join("source_weight", float)[by_s], keys[by_t], join("target_weight", float)[by_t], self.rare_weight,
+            pair_source[by], pair_target[by], join("forward", np.float32)[by], join("backward", np.float32)[by],
+        )
+
 
 def _lang_hash(lang: str) -> int:
     return _hash(f"language {lang}") & ~1
@@ -238,7 +275,7 @@ class _Side:
 class Batch:
     """Documents of an Arrow batch with the part of the tables that concerns their words."""
 
-    def __init__(self, batch: pa.RecordBatch, lex: Lexicon) -> None:
+    def __init__(self, batch: pa.RecordBatch, lex: Lexicon | Pieces) -> None:
         self.s, self.t = _Side(batch, "s"), _Side(batch, "t")
         langs, names = pd.factorize(np.array([NO_LANG if x is None else x for x in batch.column("lang").to_pylist()], object))
         self.lang, self.lang_names = langs.astype(np.int64), list(names)
@@ -251,6 +288,7 @@ class Batch:
         self.t_code = codes[self.s.code.size :].astype(np.int64)
         self.t_id = self.t_code * n_langs + self.lang[self.t.doc]
         self.target_key = (self.code[:, None] ^ hashes[None, :]).ravel() if len(names) else self.code
+        lex = lex.of(self.code, self.target_key)
         at, self.s_known = _look_up(lex.source, self.code)
         self.s_weight = np.where(self.s_known, lex.source_weight[at] if lex.source.size else 0.0, lex.rare_weight)
         at, self.t_known = _look_up(lex.target, self.target_key)
@@ -620,7 +658,7 @@ def _by_tables(batch: Batch, linked: bool) -> tuple[np.ndarray, np.ndarray, np.n
 _COUNTS = "lang string, s bigint, t bigint, n double, c double"
 
 
-def _count_batches(lexicon_of: Callable[[pa.RecordBatch], Lexicon], first: bool, linked: bool):
+def _count_batches(lexicon_of: Callable[[pa.RecordBatch], Lexicon | Pieces], first: bool, linked: bool):
     """Expected counts of a partition's word pairs, added up over its batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -704,12 +742,51 @@ def _lexicon(weights: pd.DataFrame, table: pd.DataFrame, rare: float) -> Lexicon
     )
 
 
-def _with_tables(docs: DataFrame, weights: DataFrame, table: DataFrame | None, rare: float) -> tuple[DataFrame, Callable[[pa.RecordBatch], Lexicon], Callable[[], None]]:
+_NO_ROWS = {
+    "weights": pd.DataFrame({"side": np.zeros(0, np.int32), "lang": np.zeros(0, object), "code": np.zeros(0, np.int64), "weight": np.zeros(0)}),
+    "table": pd.DataFrame({"lang": np.zeros(0, object), "s": np.zeros(0, np.int64), "t": np.zeros(0, np.int64), "forward": np.zeros(0), "backward": np.zeros(0)}),
+}
+
+
+def _pieces(rows: DataFrame, n: int, name: str, rare: float) -> Iterator[Lexicon]:
+    """The ``n`` rows of the weights or the table, packed by the executors and fetched one piece after another."""
+    most = PIECE
+
+    def pack(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        given = _NO_ROWS | {name: pa.Table.from_batches(held).to_pandas()}
+        return pa.RecordBatch.from_arrays([pa.array([pickle.dumps(_lexicon(**given, rare=rare), pickle.HIGHEST_PROTOCOL)], pa.binary())], names=["piece"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        room = most
+        for batch in batches:
+            while batch.num_rows >= room:
+                yield pack([*held, batch.slice(0, room)])
+                batch, held, room = batch.slice(room), [], most
+            if batch.num_rows:
+                held.append(batch)
+                room -= batch.num_rows
+        if held:
+            yield pack(held)
+
+    if n:
+        parts = rows.coalesce(1) if n <= most else rows.repartition(-(-n // most))
+        for row in parts.mapInArrow(run, "piece binary").toLocalIterator():
+            yield pickle.loads(row.piece)
+
+
+def _with_tables(docs: DataFrame, weights: DataFrame, table: DataFrame | None, rare: float) -> tuple[DataFrame, Callable[[pa.RecordBatch], Lexicon | Pieces], Callable[[], None]]:
     """The documents, how to get a batch's tables, and what to release after use."""
     table = docs.sparkSession.createDataFrame([], _NO_TABLE) if table is None else table
-    if weights.count() + table.count() <= BROADCAST_ROWS:
-        shared = docs.sparkSession.sparkContext.broadcast(_lexicon(weights.toPandas(), table.toPandas(), rare))
-        return docs, lambda _: shared.value, shared.unpersist
+    n_weights, n_pairs = weights.count(), table.count()
+    if n_weights + n_pairs <= BROADCAST_ROWS:
+        shared = [docs.sparkSession.sparkContext.broadcast(x) for x in chain(_pieces(weights, n_weights, "weights", rare), _pieces(table, n_pairs, "table", rare))]
+
+        def release() -> None:
+            for x in shared:
+                x.destroy()
+
+        return docs, lambda _: Pieces(shared, rare), release
     # each document gets the rows of its own words
     lang = F.coalesce("lang", F.lit(NO_LANG)).alias("lang")
     words = docs.select("uid", lang, F.explode(F.array_distinct("s_words")).alias("s")).distinct()
@@ -756,7 +833,7 @@ def train_lexicon(docs: DataFrame) -> Trained:
     return trained
 
 
-def _link_batches(lexicon_of: Callable[[pa.RecordBatch], Lexicon]):
+def _link_batches(lexicon_of: Callable[[pa.RecordBatch], Lexicon | Pieces]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for record in batches:
             batch = Batch(record, lexicon_of(record))

@@ -159,6 +159,31 @@ def test_joined_tables_give_what_broadcast_tables_give(spark, monkeypatch):
     assert [r[:4] for r in one] == [r[:4] for r in other] and [r[4] for r in one] == pytest.approx([r[4] for r in other])
 
 
+def test_the_driver_holds_a_piece_of_the_tables_at_a_time(spark, monkeypatch):
+    rnd = random.Random(5)
+    rows = [(i, "x" if i % 5 else None, *document(rnd)[:2]) for i in range(80)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    whole = sorted(map(tuple, align_sentences(df).collect()), key=repr)
+    sizes, share = [], spark.sparkContext.broadcast
+
+    def broadcast(x):
+        if isinstance(x, alignment.Lexicon):
+            sizes.append(x.source.size + x.target.size + x.pair_source.size)
+        return share(x)
+
+    def gathered(*_):
+        raise AssertionError("all rows gathered in the driver")
+
+    monkeypatch.setattr(alignment, "PIECE", 40, raising=False)
+    monkeypatch.setattr(spark.sparkContext, "broadcast", broadcast)
+    with monkeypatch.context() as patch:
+        for name in ("toPandas", "toArrow"):
+            patch.setattr(type(df), name, gathered)
+        links = alignment.align_sentences(df)
+    assert whole and sorted(map(tuple, links.collect()), key=repr) == whole
+    assert len(sizes) > 10 and max(sizes) <= 40 and max(sizes) > min(sizes) > 0
+
+
 def test_words_of_batches_are_those_of_single_sentences():
     texts = ["One two, two!  Three 2.481 four\u2003five? six.", "", " ... ", "No end", "¿Qué?\nＭás ｄe 3,5 (x)... y", "a\u200bb. Ζ"]
     sizes, codes, counts = alignment._words_of(texts, alignment._Chunks(alignment.canonical))
